@@ -22,6 +22,28 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import html
+
+    return html.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import ann
+
+    rows = _read(spark, sf_dir, "embeddings")
+    vectors = rows.select("vec_id", F.col("embedding").alias("vector"))
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return ann.nearest(vectors, queries)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import suffixdedup
+
+    cut = suffixdedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +59,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import neardup
+
+    return neardup.classes(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_texts")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality
 
@@ -50,12 +78,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import language
+
+    found = language.identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", F.col("lang").alias("declared"), "language", "text_language", F.round("posterior", 6).alias("posterior"), "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 
