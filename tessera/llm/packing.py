@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 from collections.abc import Iterator
@@ -16,7 +17,9 @@ TIERS = (2048, 1024, 512, 256, 128, 64)
 END = 1
 STEP_TOKENS = 16 * 2048
 ROUND_TOKENS = 4 << 20  # tokens that are packed together
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_000_000
+MARK = "~"
+MARKS = ".,;:!?*#$%&|"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, capacity long, step_group long"
 
 
@@ -32,34 +35,79 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None  # what stands between words that are tokenized in one go
+        self._clear()
 
-    def _of(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known, new = {"": np.zeros(0, np.uint32)}, [w for w in words if w]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32)
-        return [self.known[w] for w in words]
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, np.uint32)
+        self.first, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _keep(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.known)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after another, and where each word's begin."""
+        sizes = self.length[which]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(self.first[which] - at[:-1], sizes) + np.arange(at[-1])], at
+
+    def _tokenize(self, words: list[str]) -> None:
+        """Words together in one go, apart from those that hold the mark themselves."""
+        plain = [w for w in words if MARK not in w] if self.mark is not None else []
+        odd = [w for w in words if MARK in w] if self.mark is not None else words
+        lengths, ids = [], []
+        for i in range(0, len(plain), 8192):
+            part = plain[i : i + 8192]
+            found = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(found == self.mark)
+            lengths.append(np.diff(np.append(at, len(found)), prepend=-1) - 1)
+            ids.append(np.delete(found, at))
+        for w in odd:
+            found = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            lengths.append(np.array([len(found)]))
+            ids.append(found)
+        if lengths:
+            self._keep([*plain, *odd], np.concatenate(lengths), np.concatenate(ids))
+
+    def _learn(self, words: list[str]) -> None:
+        """Words that aren't known yet. One that ends in marks is its stem and its marks, which are cut apart anyway."""
+        whole, parted, pieces = [], [], []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if len(stem) == len(w) or not stem or not stem[-1].isalnum():
+                whole.append(w)
+            else:
+                parted.append(w)
+                pieces += (stem, w[len(stem) :])
+        self._tokenize(list({*whole, *pieces} - self.known.keys()))
+        if parted:
+            ids, at = self._gather(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
+            self._keep(parted, np.diff(at[::2]), ids)
 
     def texts(self, column: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each with ``end``, and n + 1 bounds."""
-        column = pc.fill_null(column.cast(pa.large_string()), "")
-        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
-        found = self._of(coded.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        first = np.concatenate([[0], np.cumsum(lengths)])
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        per_word = lengths[which]
-        at = np.concatenate([[0], np.cumsum(per_word)])
-        starts = np.repeat(first[which] - at[:-1], per_word)
-        ids = flat[starts + np.arange(at[-1])]
-        words = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        bounds = at[words] + np.arange(len(column) + 1)
+        words: list[str] = []
+        counts = np.zeros(len(column) + 1, np.int64)
+        for k, text in enumerate(column.to_pylist()):
+            if text:
+                own = text.replace("\n", " ").split(" ")
+                words += own
+                counts[k + 1] = len(own)
+        new = set(words) - self.known.keys()
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self._clear()
+            new = set(words) - {""}
+        if new:
+            self._learn(list(new))
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ids, at = self._gather(which)
+        bounds = at[np.cumsum(counts)] + np.arange(len(column) + 1)
         out = np.full(int(bounds[-1]), end, np.uint32)
         keep = np.ones(len(out), bool)
         keep[bounds[1:] - 1] = False
@@ -67,6 +115,12 @@ class Encoder:
         return out, bounds
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for each worker process: the words that a task has met are known to the next."""
+    return Encoder(path)
+
+
 class Packer:
     """Packs the documents of one task.
 
@@ -210,7 +264,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step_t
                     waiting, size = [], 0
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or _encoder(tokenizer)
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for first, last in _slices(texts):
                 ids, bounds = encoder.texts(texts.slice(first, last - first))
