@@ -17,6 +17,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCK = 4096  # documents of one source that a task moves together
+LARGE = 0.02
 LANDING = 12  # fractional documents that are left for the landing
 FEWEST_SHUFFLED_SOURCES = 50_000  # up to so many sources their table is broadcast
 _SLACK = 1e-9
@@ -88,6 +89,35 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, leave: int
     return np.array(probability)
 
 
+def settle_large(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, share: float = LARGE) -> np.ndarray:
+    """Settle the units that hold over ``share`` of the open words, moving all others a little for each.
+
+    In a flight of three a unit far larger than its companions hardly moves, and what is left of it at the end is
+    more than a few small ones can make up for. Here the direction is a + b * size on all other open units, which
+    keeps the same two sums.
+    """
+    p = p.astype(float).copy()
+    while True:
+        open_ = np.flatnonzero((p > _SLACK) & (p < 1 - _SLACK))
+        if len(open_) <= LANDING or size[open_].max() <= share * size[open_].sum():
+            return p
+        i = open_[np.argmax(size[open_])]
+        rest = open_[open_ != i]
+        s = size[rest].astype(float)
+        sums = np.array([[len(s), s.sum()], [s.sum(), (s * s).sum()]])
+        if np.linalg.det(sums / s.max() ** np.array([[0, 1], [1, 2]])) < 1e-9:
+            return p
+        a, b = np.linalg.solve(sums, [-1.0, -float(size[i])])
+        u = np.zeros(len(p))
+        u[i], u[rest] = 1.0, a + b * s
+        move = u != 0
+        up = np.where(u[move] > 0, 1 - p[move], p[move]) / np.abs(u[move])
+        down = np.where(u[move] > 0, p[move], 1 - p[move]) / np.abs(u[move])
+        up, down = up.min(), down.min()
+        p[move] += (up if rng.random() * (up + down) < down else -down) * u[move]
+        p = np.where(p < _SLACK, 0.0, np.where(p > 1 - _SLACK, 1.0, p))
+
+
 def land(size: np.ndarray, p: np.ndarray, owed: float = 0.0) -> np.ndarray:
     """Round the few fractions that are left: of all choices the one whose words miss the wanted sum least,
     then whose number of documents does."""
@@ -103,6 +133,19 @@ def land(size: np.ndarray, p: np.ndarray, owed: float = 0.0) -> np.ndarray:
     return out
 
 
+def mend(size: np.ndarray, chosen: np.ndarray, wanted: float, slack: float = 0.005) -> np.ndarray:
+    """Where one document is so large that no landing is near, give up the number of documents: flip the largest
+    settled ones that still fit into the gap."""
+    chosen, gap = chosen.copy(), wanted - float(chosen @ size)
+    if abs(gap) > slack * wanted:
+        for i in np.argsort(-size, kind="stable").tolist():
+            if gap > 0 and not chosen[i] and size[i] <= gap:
+                chosen[i], gap = 1.0, gap - size[i]
+            elif gap < 0 and chosen[i] and size[i] <= -gap:
+                chosen[i], gap = 0.0, gap + size[i]
+    return chosen
+
+
 def _fly(seed: int, level: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         source, block = key[0].as_py(), key[1].as_py()
@@ -110,12 +153,15 @@ def _fly(seed: int, level: int):
         size, p = table["size"].to_numpy(), table["p"].to_numpy().copy()
         rng = np.random.default_rng([seed, level, zlib.crc32(repr(source).encode()), block])
         last = bool(len(table)) and table["blocks"][0].as_py() == 1
+        wanted = float(p @ size)
+        p = settle_large(size, p, rng)
         # the last to settle are of all magnitudes, so that the landing can make up for any fraction that is left
-        late = np.unique(np.linspace(0.1 * len(p), len(p) - 1, LANDING - 2).astype(int))
+        fractional = np.flatnonzero((p > _SLACK) & (p < 1 - _SLACK))
+        late = fractional[np.unique(np.linspace(0.1 * len(fractional), len(fractional) - 1, LANDING - 2).astype(int))] if len(fractional) else fractional
         order = np.concatenate([np.setdiff1d(np.arange(len(p)), late), late])
         p[order] = flight(size[order], p[order], rng, len(late))
         if last:
-            p = land(size, p)
+            p = mend(size, land(size, p), wanted)
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return run
@@ -169,3 +215,18 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix over (doc_id, text, source): see ``mix``. Texts are read once."""
     units = docs.select("doc_id", "source", sizes_of(docs).alias("size"), F.xxhash64("text").alias("text_hash"))
     return mix(cut(units), **options)
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; those taken never are gone.
+
+    Decisions meet documents on doc_id and a hash of doc_id, source and text: one shuffle of the texts that stay
+    wide. Rows that are equal in all three are interchangeable and share out their decisions in turn.
+    """
+    made = mix_documents(docs, **options).where("times > 0")
+    name = lambda text_hash: F.xxhash64("doc_id", "source", text_hash)
+    each = made.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("__d"), name("text_hash").alias("__h")).agg(F.array_sort(F.collect_list("times")).alias("__times"))
+    keyed = docs.withColumns({"__d": F.coalesce("doc_id", F.lit(-1)), "__h": name(F.xxhash64("text"))})
+    order = Window.partitionBy("__d", "__h").orderBy("__h")
+    numbered = keyed.join(each, ["__d", "__h"]).withColumn("__n", F.row_number().over(order))
+    return numbered.withColumn("__t", F.explode(F.sequence(F.lit(1), F.get("__times", F.col("__n") - 1)))).select(*docs.columns)
