@@ -90,6 +90,18 @@ class _Common:
 
     known_divisions = False
 
+    def lengths(self) -> list[int]:
+        """Rows of each partition that has any."""
+        return [r["count"] for r in self.base.sdf.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()]
+
+    def compute_current_divisions(self, col: str | None = None) -> tuple:
+        """The least label of each partition, and the greatest of the last; an eager pass."""
+        c = F.col(col or self.base._indexed().index_column)
+        rows = self.base._indexed().sdf.groupBy(F.spark_partition_id().alias("p")).agg(F.min(c).alias("a"), F.max(c).alias("b")).orderBy("p").collect()
+        if any(x["b"] > y["a"] for x, y in zip(rows, rows[1:], strict=False)):
+            raise ValueError("partitions overlap")
+        return (*[r["a"] for r in rows], rows[-1]["b"]) if rows else ()
+
     def pipe(self, func: Callable, *args, **kwargs):
         if isinstance(func, tuple):
             func, target = func

@@ -306,6 +306,70 @@ query("array_reduce", "select i1, round(sum(v), 4) as s from (select 0 as i1, p_
 )
 query("timeseries")(lambda t: ts.timeseries("2000-01-01", "2000-01-02", "1min"))
 
+# -- more of the same families
+query("groupby_prod", "select n_regionkey, product(n_nationkey + 1)::double as v from nation group by 1")(lambda t: t.nation.assign(v=lambda d: d.n_nationkey + 1).groupby("n_regionkey").v.prod().base.sdf.select(F.col("__idx").alias("n_regionkey"), "v"))
+query("groupby_quantile", "select l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) as v from lineitem group by 1")(
+    lambda t: rounded(t.lineitem.groupby("l_returnflag").l_extendedprice.quantile(0.25).base.sdf.select(F.col("__idx").alias("l_returnflag"), F.col("l_extendedprice").alias("v")), 6)
+)
+query("groupby_keep_missing_keys", "select case when p_size > 25 then p_brand end as k, count(*) as n from part group by 1")(
+    lambda t: t.part.assign(k=lambda d: d.p_brand.where(d.p_size > 25)).groupby("k", dropna=False).size().base.sdf.select(F.col("__idx").alias("k"), F.col("size").alias("n"))
+)
+query("groupby_drop_missing_keys", "select p_brand as k, count(*) as n from part where p_size > 25 group by 1")(
+    lambda t: t.part.assign(k=lambda d: d.p_brand.where(d.p_size > 25)).groupby("k").size().base.sdf.select(F.col("__idx").alias("k"), F.col("size").alias("n"))
+)
+query("groupby_bfill", "select event_id, first_value(case when value > 50 then value end ignore nulls) over (partition by user_id order by event_id rows between current row and unbounded following) as f from events")(
+    lambda t: (lambda s: s.base.sdf.select("event_id", s.col.alias("f")))(_indexed(t).assign(v=lambda d: d.value.where(d.value > 50)).groupby("user_id").v.bfill())
+)
+query("groupby_corr", "select l_returnflag, round(corr(l_quantity, l_extendedprice), 8) as v from lineitem group by 1")(
+    lambda t: rounded(t.lineitem.groupby("l_returnflag")[["l_quantity", "l_extendedprice"]].corr().sdf.where("variable = 'l_quantity'").select("l_returnflag", F.col("l_extendedprice").alias("v")), 8)
+)
+query("merge_both_indexes", "select n_nationkey as k, n_name, s_name from nation join supplier on n_nationkey = s_suppkey")(
+    lambda t: t.nation.set_index("n_nationkey")[["n_name"]].merge(t.supplier.set_index("s_suppkey")[["s_name"]], left_index=True, right_index=True).sdf.select(F.col("__idx").alias("k"), "n_name", "s_name")
+)
+query("concat_inner", "select k from (select c_custkey as k from customer union all select s_suppkey from supplier)")(
+    lambda t: ts.concat([t.customer[["c_custkey", "c_name"]].set_columns(["k", "n"]), t.supplier[["s_suppkey"]].set_columns(["k"])], join="inner")
+)
+query("fillna_by_column", "select event_id, coalesce(case when value > 50 then value end, -1) as a, coalesce(case when value > 90 then value end, -2) as b from events")(
+    lambda t: t.events.assign(a=lambda d: d.value.where(d.value > 50), b=lambda d: d.value.where(d.value > 90))[["event_id", "a", "b"]].fillna({"a": -1.0, "b": -2.0})
+)
+query("row_nunique", "select l_orderkey, l_linenumber, case when l_tax = l_discount then 1 else 2 end as n from lineitem")(lambda t: t.lineitem.assign(n=lambda d: d[["l_tax", "l_discount"]].nunique(axis=1))[["l_orderkey", "l_linenumber", "n"]])
+query("rolling_centre", "select event_id, case when count(value) over w >= 3 then round(avg(value) over w, 6) end as r from events window w as (order by event_id rows between 1 preceding and 1 following)")(
+    lambda t: (lambda s: rounded(s.base.sdf.select("event_id", s.col.alias("r")), 6))(_indexed(t).value.rolling(3, center=True).mean())
+)
+query("rolling_quantile", "select event_id, case when count(value) over w >= 4 then round(quantile_cont(value, 0.25) over w, 6) end as r from events window w as (order by event_id rows between 3 preceding and current row)")(
+    lambda t: (lambda s: rounded(s.base.sdf.select("event_id", s.col.alias("r")), 6))(_indexed(t).value.rolling(4).quantile(0.25))
+)
+query("rolling_count", "select event_id, count(case when value > 50 then value end) over (order by event_id rows between 4 preceding and current row)::double as r from events")(
+    lambda t: (lambda s: s.base.sdf.select("event_id", s.col.alias("r")))(_indexed(t).assign(v=lambda d: d.value.where(d.value > 50)).v.rolling(5).count())
+)
+query("resample_first_last", "select bin, a, b from (select time_bucket(interval 6 hours, ts) as bin, arg_min(value, ts) as a, arg_max(value, ts) as b from events group by 1)")(
+    lambda t: (lambda r: r.agg({"value": ["first", "last"]}).sdf.where("value_first is not null").select(F.col("__idx").alias("bin"), F.col("value_first").alias("a"), F.col("value_last").alias("b")))(t.events.set_index("ts")[["value"]].resample("6h"))
+)
+query("resample_month", "select date_trunc('month', o_orderdate) as bin, count(*) as n from orders group by 1")(
+    lambda t: t.orders.set_index("o_orderdate").resample("MS").size().base.sdf.where("size > 0").select(F.col("__idx").alias("bin"), F.col("size").alias("n"))
+)
+query("str_pad_strip", "select n_nationkey, lpad(n_name, 20, '*') as l, rpad(n_name, 20, '*') as r, trim('  ' || n_name || ' ') as s from nation")(
+    lambda t: t.nation.assign(l=lambda d: d.n_name.str.rjust(20, "*"), r=lambda d: d.n_name.str.ljust(20, "*"), s=lambda d: d.n_name.str.center(30).str.strip())[["n_nationkey", "l", "r", "s"]]
+)
+query("str_tests", "select c_custkey, regexp_full_match(c_name[-3:], '[0-9]+') as d, c_mktsegment = upper(c_mktsegment) as u, len(regexp_extract_all(c_name, '0'))::int as n from customer")(
+    lambda t: t.customer.assign(d=lambda x: x.c_name.str[-3:].str.isdigit(), u=lambda x: x.c_mktsegment.str.isupper(), n=lambda x: x.c_name.str.count("0"))[["c_custkey", "d", "u", "n"]]
+)
+query("str_partition", "select p_partkey, split_part(p_brand, '#', 1) as \"0\", '#' as \"1\", split_part(p_brand, '#', 2) as \"2\" from part")(
+    lambda t: t.part.set_index("p_partkey").p_brand.str.partition("#").sdf.select(F.col("__idx").alias("p_partkey"), F.col("`0`"), F.col("`1`"), F.col("`2`"))
+)
+query("dt_isocalendar", "select o_orderkey, isoyear(o_orderdate)::int as year, week(o_orderdate)::int as week, isodow(o_orderdate)::int as day from orders")(
+    lambda t: t.orders.set_index("o_orderkey").o_orderdate.dt.isocalendar().sdf.select(F.col("__idx").alias("o_orderkey"), "year", "week", "day")
+)
+query("to_datetime", "select o_orderkey, strptime(strftime(o_orderdate, '%d.%m.%Y'), '%d.%m.%Y') as d from orders")(
+    lambda t: t.orders.assign(d=lambda x: ts.to_datetime(x.o_orderdate.dt.strftime("%d.%m.%Y"), format="%d.%m.%Y"))[["o_orderkey", "d"]]
+)
+query("map_function", "select s_suppkey, s_acctbal * 2 as v from supplier")(lambda t: t.supplier.assign(v=lambda d: d.s_acctbal.map(lambda x: x * 2))[["s_suppkey", "v"]])
+query("frame_value_counts", "select l_returnflag, l_linestatus, count(*) as \"count\" from lineitem group by 1, 2")(lambda t: t.lineitem[["l_returnflag", "l_linestatus"]].value_counts())
+query("frame_comparison", "select s_suppkey > 5 as s_suppkey, s_acctbal > 5 as s_acctbal from supplier")(lambda t: t.supplier[["s_suppkey", "s_acctbal"]] > 5)
+query("memory_usage")(lambda t: t.customer.memory_usage())
+query("autocorr", "select round(corr(value, p), 8) as value from (select value, lag(value) over (order by event_id) as p from events)")(lambda t: rounded(_indexed(t).value.autocorr(1).sdf, 8))
+query("array_broadcast", "select p_size - (select avg(p_size) from part) as v from part")(lambda t: (lambda a: (a - a.mean(0, keepdims=True)).sdf.select("v"))(t.part.set_index("p_partkey")[["p_size"]].to_array()))
+
 
 def _streamed(spark: SparkSession, folder: str) -> DataFrame:
     """The tumbling windows of the events, read as a stream and run to its end."""
