@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -68,6 +69,7 @@ class Page:
         stack: list[tuple[str, int, bool, bool]] = []  # tag, element, dropped, in an article
         text: list[str] = []
         links = size = anchors = 0
+        opened: dict[str, int] = {}  # how many of each element are open
 
         def flush() -> None:
             nonlocal links, size
@@ -85,6 +87,7 @@ class Page:
                 if tag in _BLOCK:
                     flush()
                 anchors -= tag == "a"
+                opened[tag] -= 1
             del stack[depth:]
 
         at, end = 0, len(html)
@@ -105,6 +108,8 @@ class Page:
             tag = tag.lower()
             closing = m.group(1) if m.group(2) else m.group(4)
             if closing:
+                if not opened.get(tag):
+                    continue
                 depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
                 if depth >= 0 and not (tag not in _BLOCK and any(t in _BLOCK for t, *_ in stack[depth:])):
                     pop_to(depth)
@@ -119,11 +124,11 @@ class Page:
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                 at = close.end() if close else end
                 continue
-            if tag in _BLOCK and any(t == "p" for t, *_ in stack):
+            if tag in _BLOCK and opened.get("p"):
                 depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p")
                 if not any(t in _BLOCK for t, *_ in stack[depth + 1 :]):
                     pop_to(depth)
-            if tag in _CLOSED_BY:
+            if tag in _CLOSED_BY and any(opened.get(t) for t in _CLOSED_BY[tag]):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in _BOUNDARY[tag]:
                         break
@@ -143,7 +148,9 @@ class Page:
                 flush()
                 classes = sorted(re.sub(r"\d+", "#", c) for c in attributes.get("class", "").lower().split())
                 self.parent.append(element)
-                self.path.append(f"{self.path[element]}/{tag}" + "".join(f".{c}" for c in classes))
+                path = f"{self.path[element]}/{tag}" + "".join(f".{c}" for c in classes)
+                # a deep path is named by its hash, so that nesting costs no more than its depth
+                self.path.append(path if len(path) <= 512 else f"#{hashlib.blake2b(path.encode('utf-8', 'replace'), digest_size=16).hexdigest()}")
                 words = set(_PART.findall(" ".join([*classes, attributes.get("id", "").lower(), attributes.get("role", "").lower()])))
                 self.good.append(tag in ("article", "main") or bool(words & _GOOD))
                 element = len(self.parent) - 1
@@ -153,6 +160,7 @@ class Page:
             if not attributes.get("/", "") and (m.group(3) or m.group(6) or "").endswith("/") and tag not in _BLOCK:
                 anchors -= tag == "a"
                 continue  # closed at once
+            opened[tag] = opened.get(tag, 0) + 1
             stack.append((tag, element, dropped, inside or tag in ("article", "main")))
         pop_to(0)
         flush()
@@ -174,14 +182,10 @@ class Page:
 
     def text_of(self, containers: set[int]) -> str:
         """The blocks within the containers, in page order; blocks that are nearly all link are left out."""
-        within: dict[int, bool] = {}
-
-        def inside(element: int) -> bool:
-            if element not in within:
-                within[element] = element in containers or (self.parent[element] >= 0 and inside(self.parent[element]))
-            return within[element]
-
-        return "\n\n".join(t for e, t, links, tag in self.blocks if inside(e) and (tag != "li" or links < 0.8 * len(t)))
+        within: list[bool] = []
+        for element, parent in enumerate(self.parent):  # a parent comes before its children
+            within.append(element in containers or (parent >= 0 and within[parent]))
+        return "\n\n".join(t for e, t, links, tag in self.blocks if within[e] and (tag != "li" or links < 0.8 * len(t)))
 
     def extract(self, paths: list[str]) -> tuple[str, str]:
         """The text in the containers of the first of ``paths`` that counts on this page, or else in its best one."""

@@ -198,3 +198,10 @@ def test_pipeline_on_a_small_corpus(spark, corpus, tmp_path):
     pieces = out.collect()
     assert pieces and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
     assert {r.doc_id for r in pieces} <= {x[0] for x in corpus}
+
+
+def test_deep_and_broken_pages():
+    deep = html.Page("<div>" * 20_000 + "<p>" + "text " * 50)
+    assert deep.extract([])[0].startswith("text text")
+    for broken in ("<", "<p", "<p a='", "<!-- x", "<script>", "</p></div>", "<a href=x>y", "\x00<p>z", "<p/>q<br/>r"):
+        assert isinstance(html.Page(broken).extract([])[0], str)
