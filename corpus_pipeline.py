@@ -59,14 +59,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's result is written to the shared folder and reread."""
+    """All stages over the documents of ``sf_dir``; each stage's result is written to the shared folder and
+    reread. Only that of the stage before the last stays."""
     import uuid
 
-    from tessera.llm.store import checkpoint_dir
+    from tessera.llm.store import checkpoint_dir, drop
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

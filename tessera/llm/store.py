@@ -21,3 +21,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder: a lost executor takes nothing of it away."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
