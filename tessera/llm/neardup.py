@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import cut
-from tessera.llm.textarrays import U64, bags, mix64, slices, utf8
+from tessera.llm.textarrays import U64, bags, mix64, released, slices, utf8
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -33,6 +33,9 @@ DRAWS = 1 << 16
 ESTIMATE = 0.56  # four standard errors below SIMILARITY with 48 samples
 ALIKE = 0.72
 PAIRWISE = 32
+PAIRS = 3  # leaders that a text of a larger bucket is compared with
+SENT = 3  # texts of a component that a task sends on for each bucket
+LOCAL = 8_000  # texts that are compared within a task
 CHUNK_SHINGLES = 4 << 20
 _KEYS = (np.random.default_rng(20).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) << U64(1)) | U64(1)
 
@@ -139,39 +142,102 @@ def _estimates(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (rows == one).mean(axis=1)
 
 
-def bucket_pairs(band: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
-    """Pairs worth comparing among nodes that share a band, and the rows that stand for their bucket elsewhere.
+def bucket_pairs(band: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Pairs worth comparing among nodes that share a band.
 
     Small buckets: every pair whose sketches agree enough. Large ones: leaders are chosen in an order that differs
-    from band to band; a node whose sketch is like a leader's needn't lead, and every node is paired with each
-    leader that it may be similar to. The number of pairs follows the nodes, not their square.
+    from band to band; a node whose sketch is like a leader's needn't lead, and is paired with the first few leaders
+    that it may be similar to. The number of pairs follows the nodes, not their square.
     """
     order = np.argsort(band, kind="stable")
     cuts = np.flatnonzero(band[order][1:] != band[order][:-1]) + 1
-    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(order)]])
-    pairs: list[tuple[bytes, bytes]] = []
-    leads = np.zeros(len(order), bool)
-    leads[order[starts[ends - starts == 1]]] = True
-    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        rows = order[a:b]
-        seen: dict[bytes, int] = {}
-        for r in rows.tolist():
-            seen.setdefault(node[r], r)
-        rows = np.array(list(seen.values()))
-        if len(rows) > PAIRWISE:
-            salt = int(band[rows[0]]).to_bytes(8, "little")
+    pairs: set[tuple[bytes, bytes]] = set()
+    for rows in np.split(order, cuts):
+        rows = np.array(list({node[r]: r for r in rows.tolist()}.values()))
+        large = len(rows) > PAIRWISE
+        if large:
+            salt = (int(band[rows[0]]) % (1 << 64)).to_bytes(8, "little")
             rows = rows[np.argsort([hashlib.blake2b(node[r], digest_size=8, key=salt).digest() for r in rows.tolist()], kind="stable")]
-        own, free = sketch[rows], np.ones(len(rows), bool)
-        for k in range(len(rows)):
+        own, free, paired = sketch[rows], np.ones(len(rows), bool), np.zeros(len(rows), int)
+        for k in range(len(rows) if len(rows) > 1 else 0):
             if not free[k]:
                 continue
-            leads[rows[k]] = True
             est = _estimates(own, own[k])
             est[k] = 0
-            if len(rows) > PAIRWISE:
+            if large:
+                chosen = np.flatnonzero((est >= ESTIMATE) & (paired < PAIRS))
+                paired[chosen] += 1
                 free &= est < ALIKE
-            pairs += [(min(node[rows[j]], node[rows[k]]), max(node[rows[j]], node[rows[k]])) for j in np.flatnonzero(est >= ESTIMATE).tolist() if len(rows) > PAIRWISE or j > k]
-    return pairs, leads
+            else:
+                chosen = np.flatnonzero(est[k + 1 :] >= ESTIMATE) + k + 1
+            pairs.update((min(node[rows[j]], node[rows[k]]), max(node[rows[j]], node[rows[k]])) for j in chosen.tolist())
+    return list(pairs)
+
+
+def weighted_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Of two bags of ascending fingerprints with their weights."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    hit = y[at] == x
+    shared = np.minimum(wx[hit], wy[at[hit]]).sum()
+    return float(shared / (wx.sum() + wy.sum() - shared))
+
+
+class Local:
+    """The distinct texts of a part of a task: joined to components where they share a band and are similar enough.
+
+    What is linked here needs no comparison elsewhere, so a component sends at most SENT of its texts on for each bucket.
+    """
+
+    def __init__(self, idf: Idf, similarity: float) -> None:
+        self.idf, self.similarity = idf, similarity
+        self.names: list[bytes] = []
+        self.bags: list[tuple[np.ndarray, np.ndarray]] = []
+        self.bands: list[np.ndarray] = []
+        self.sketches: list[np.ndarray] = []
+
+    def add(self, name: bytes, shingles: np.ndarray, counts: np.ndarray, band: np.ndarray, sketch: np.ndarray) -> None:
+        low = (shingles & U64(0xFFFFFFFF)).astype(np.uint32)
+        order = np.argsort(low)
+        self.names.append(name)
+        self.bags.append((low[order], (counts * self.idf.of(shingles))[order]))
+        self.bands.append(band)
+        self.sketches.append(sketch)
+
+    def close(self) -> tuple[list[tuple[bytes, bytes]], list[tuple[int, int]]]:
+        """Links, as few as join the components, and the (text, band) that go on."""
+        parent = list(range(len(self.names)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        band, sketch = np.concatenate(self.bands), np.stack(self.sketches)
+        order = np.argsort(band, kind="stable")
+        cuts = np.flatnonzero(band[order][1:] != band[order][:-1]) + 1
+        groups = np.split(order, cuts)
+        links: list[tuple[bytes, bytes]] = []
+        tried: set[tuple[int, int]] = set()
+        for group in groups:
+            texts = group // BANDS
+            for k in range(1, len(texts)):
+                i, before = int(texts[k]), texts[:k]
+                for j in before[_estimates(sketch[before], sketch[i]) >= ESTIMATE].tolist():
+                    if find(i) == find(j) or (i, j) in tried:
+                        continue
+                    tried.add((i, j))
+                    if weighted_jaccard(*self.bags[i], *self.bags[j]) >= self.similarity - 1e-12:
+                        parent[find(i)] = find(j)
+                        links.append((min(self.names[i], self.names[j]), max(self.names[i], self.names[j])))
+        sent: list[tuple[int, int]] = []
+        for group in groups:
+            seen: dict[int, int] = {}
+            for row in group.tolist():
+                root = find(row // BANDS)
+                seen[root] = seen.get(root, 0) + 1
+                if seen[root] <= SENT:
+                    sent.append((row // BANDS, row % BANDS))
+        return links, sent
 
 
 _SIGNED = "doc_id long, node binary, band long, sketch binary, other binary"
@@ -182,65 +248,59 @@ def _rows(columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SIGNED_ARROW, strict=True)], schema=_SIGNED_ARROW)
 
 
-def _sign(idf_shared, words: int):
-    """Rows of three kinds: (doc_id, node), pairs (node, other) and (node, band, sketch).
+def _sign(idf_shared, words: int, similarity: float):
+    """Rows of three kinds: (doc_id, node), links (node, other) and (node, band, sketch).
 
-    A node is a distinct text, named by a 128-bit hash of it. What shares a band within the task is compared here and
-    sends only its leaders on, so that no bucket gathers more than the leaders of each task.
+    A node is a distinct text, named by a 128-bit hash of it. Texts of one task that share a band are linked here,
+    so that a bucket gathers no more than a few texts of each component and task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = None
+        idf = sampler = local = None
         done: set[bytes] = set()
-        bands, nodes, sketches = [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal bands, nodes, sketches
-            if bands:
-                band, sketch = np.concatenate(bands), np.concatenate(sketches)
-                node = np.array(nodes, object)
-                pairs, leads = bucket_pairs(band, np.repeat(node, BANDS), np.repeat(sketch, BANDS, axis=0))
-                pairs = list(set(pairs))
-                if pairs:
-                    none = [None] * len(pairs)
-                    yield _rows([none, [p[0] for p in pairs], none, none, [p[1] for p in pairs]])
-                at = np.flatnonzero(leads)
-                none = [None] * len(at)
-                yield _rows([none, node[at // BANDS].tolist(), band[at].view(np.int64), [sketch[k].tobytes() for k in (at // BANDS).tolist()], none])
-            bands, nodes, sketches = [], [], []
+            links, sent = local.close()
+            if links:
+                none = [None] * len(links)
+                yield _rows([none, [x[0] for x in links], none, none, [x[1] for x in links]])
+            none = [None] * len(sent)
+            names = [local.names[i] for i, _ in sent]
+            yield _rows([none, names, [int(local.bands[i][k].view(np.int64)) for i, k in sent], [local.sketches[i].tobytes() for i, _ in sent], none])
 
         for batch in batches:
-            sampler = sampler or Sampler(Idf(*idf_shared.value))
-            texts = batch.column("text")
-            doc_ids = batch.column("doc_id")
+            idf = idf or Idf(*idf_shared.value)
+            sampler, local = sampler or Sampler(idf), local or Local(idf, similarity)
+            texts, doc_ids = batch.column("text"), batch.column("doc_id")
             data, offsets = utf8(texts)
-            raw = data.tobytes()
-            cuts, null = offsets.tolist(), texts.is_null().to_pylist()
+            raw, cuts, null = data.tobytes(), offsets.tolist(), texts.is_null().to_pylist()
             names = [None if z else hashlib.md5(raw[a:b], usedforsecurity=False).digest() for a, b, z in zip(cuts[:-1], cuts[1:], null, strict=True)]
-            yield _rows([doc_ids, names, [None] * len(names), [None] * len(names), [None] * len(names)])
+            del raw
+            none = [None] * len(names)
+            yield _rows([doc_ids, names, none, none, none])
             for first, last in slices(offsets):
                 part = offsets[first : last + 1]
                 shingles, counts, bounds = bags(data[part[0] : part[-1]], part - part[0], words)
                 full = np.flatnonzero(np.diff(bounds) > 0)
                 if not len(full):
                     continue
-                signature = sampler.signatures(shingles, counts, np.append(bounds[:-1][full], bounds[-1]))
-                fresh = []
+                signature = sampler.signatures(shingles, counts, np.append(bounds[:-1][full], bounds[-1])).reshape(len(full), BANDS, ROWS)
+                band = np.zeros((len(full), BANDS), U64) + np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
+                for j in range(ROWS):
+                    band = mix64(band ^ signature[:, :, j])
+                sketch = (signature.reshape(len(full), BANDS * ROWS) & U64(0xFF)).astype(np.uint8)
                 for row, v in enumerate(full.tolist()):
                     if (name := names[first + v]) is not None and name not in done:
                         done.add(name)
-                        fresh.append(row)
-                        nodes.append(name)
-                if fresh:
-                    signature = signature[fresh].reshape(len(fresh), BANDS, ROWS)
-                    band = np.zeros((len(fresh), BANDS), U64) + np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
-                    for j in range(ROWS):
-                        band = mix64(band ^ signature[:, :, j])
-                    bands.append(band.ravel())
-                    sketches.append((signature.reshape(len(fresh), BANDS * ROWS) & U64(0xFF)).astype(np.uint8))
-            if len(nodes) >= 20_000:
-                yield from flush()
-        yield from flush()
+                        own = slice(bounds[v], bounds[v + 1])
+                        local.add(name, shingles[own], counts[own], band[row], sketch[row])
+                if len(local.names) >= LOCAL:
+                    yield from flush()
+                    local = Local(idf, similarity)
+        if local and local.names:
+            yield from flush()
+        local = None
+        released()
 
     return run
 
@@ -262,8 +322,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     node = np.array(table["node"].to_pylist(), object)
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
-    pairs, _ = bucket_pairs(table["band"].to_numpy(), node, sketch)
-    pairs = list(set(pairs))
+    pairs = bucket_pairs(table["band"].to_numpy(), node, sketch)
     if pairs:
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["node", "other"])
 
@@ -319,11 +378,7 @@ def _verify(low_idf, similarity: float):
                 return memo[raw]
 
             for k, (a, b) in enumerate(zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)):
-                (x, wx), (y, wy) = bag(a), bag(b)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                hit = y[at] == x
-                shared = np.minimum(wx[hit], wy[at[hit]]).sum()
-                j = shared / (wx.sum() + wy.sum() - shared)
+                j = weighted_jaccard(*bag(a), *bag(b))
                 if j >= similarity - 1e-12:
                     kept.append(k)
                     value.append(j)
@@ -369,14 +424,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
     spark = docs.sparkSession
     idf = fit_idf(docs, words=words)
     shared = spark.sparkContext.broadcast((idf.shingles, idf.weights))
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_sign(shared, words), _SIGNED))
+    signed = cut(docs.select("doc_id", "text").mapInArrow(_sign(shared, words, similarity), _SIGNED))
     named = signed.where("band is null and other is null").select("doc_id", "node")
     local = signed.where("other is not null").select("node", "other")
     # tasks as many as shuffle partitions, so each gathers whole buckets
     banded = signed.where("band is not null").select("band", "node", "sketch")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     across = banded.repartition(n, "band").mapInArrow(_bucketed, "node binary, other binary")
-    pairs = cut(local.union(across).distinct())
+    pairs = cut(across.distinct())
 
     low = idf.shingles & U64(0xFFFFFFFF)
     order = np.argsort(low, kind="stable")
@@ -389,7 +444,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
     sided = sided.join(vectors.select(F.col("node").alias("other"), F.col("vector").alias("vb")).hint("merge"), "other")
     links = cut(sided.mapInArrow(_verify(low_idf, similarity), "node binary, other binary, similarity double"))
 
-    roots = components(links)
+    roots = components(local.union(links.select("node", "other")))
     per_node = named.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("node is not null")
     per_node = per_node.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     per_root = per_node.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"))

@@ -54,19 +54,24 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = pc.fill_null(column, b"")
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     first, last = int(at[0]), int(at[-1])
     if last == first:
         return np.zeros(0, np.uint8), at - first
     return np.frombuffer(data, np.uint8)[first:last], at - first
 
 
+def released() -> None:
+    """Give memory that Arrow holds for later back to the machine, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of values of about ``most`` bytes together; a longer value is alone."""
     first, n = 0, len(offsets) - 1
