@@ -25,7 +25,7 @@ LENGTH = 100
 GRAM = 28
 COVER, PERIOD = (0, 1, 3, 9), 13  # every difference modulo 13 is one of two members
 CHUNK_BYTES = 4 << 20  # text that a task holds at a time
-GRAM_BUCKET_BYTES, SUFFIX_BUCKET_BYTES = 32 << 20, 6 << 20  # text of the corpus for each bucket
+GRAM_BUCKET_BYTES, SUFFIX_BUCKET_BYTES = 32 << 20, 3 << 20  # text of the corpus for each bucket
 SORTED_AT_ONCE = 1 << 18  # suffixes of one block
 SCAN = 1 << 18
 
@@ -176,32 +176,42 @@ def _words64(text: np.ndarray) -> np.ndarray:
     return w[: len(text)]
 
 
-def _dense(order: np.ndarray, differs: np.ndarray) -> np.ndarray:
-    """Ranks from 1 of the sorted items; ``differs`` says where one isn't equal to the one before."""
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(np.concatenate([[True], differs])) if len(order) else 0
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1; equal keys have equal ranks."""
+    order = np.argsort(key)
+    ordered = key[order]
+    out = np.empty(len(key), np.int64)
+    if len(key):
+        out[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     return out
 
 
+def _tied(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items whose key isn't theirs alone, in order of their keys, and their ranks."""
+    order = np.argsort(key)
+    ordered = key[order]
+    same = ordered[1:] == ordered[:-1]
+    shared = np.zeros(len(key), bool)
+    shared[1:] = same
+    shared[:-1] |= same
+    order, ordered = order[shared], ordered[shared]
+    return order, np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.zeros(0, np.int64)
+
+
 def _cover_ranks(words: np.ndarray, sample: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     """Ranks of the sample suffixes by at least ``length`` bytes, at their places in an array over all positions.
 
     Steps of the cover's period lead from sample to sample, so ranks double their depth from those of the sample alone.
     """
     ranks = np.zeros(len(words) + 1, np.int64)
-    first, second = words[sample], words[sample + PERIOD - 8]
-    order = np.lexsort((second, first))
-    ranks[sample] = _dense(order, (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1]))
+    own = _ranked((_ranked(words[sample]) << 32) | _ranked(words[sample + PERIOD - 8]))
     depth = PERIOD
-    while depth < length:
+    while depth < length and len(own) and own.max() < len(own):
+        ranks[sample] = own
         ahead = sample + depth
-        key = (ranks[sample] << 32) | np.where(ahead < ends, ranks[np.minimum(ahead, len(words))], 0)
-        order = np.argsort(key, kind="stable")
-        fresh = key[order][1:] != key[order][:-1]
-        ranks[sample] = _dense(order, fresh)
-        if fresh.all():
-            break
+        own = _ranked((own << 32) | np.where(ahead < ends, ranks[np.minimum(ahead, len(words))], 0))
         depth *= 2
+    ranks[sample] = own
     return ranks
 
 
@@ -221,16 +231,23 @@ def repeats(heads: np.ndarray, chunks: np.ndarray, text: np.ndarray, length: int
     padded[places] = text
     words = _words64(padded)
     residue = (within - heads["off"].astype(np.int64)[context]) % PERIOD
-    in_sample = _IN_COVER[residue]
+    starts = np.flatnonzero(within < n[context])
+    # a window that repeats has its first 16 and last 8 bytes in common with another at its place in the period
+    at = places[starts]
+    ends = mix64(words[at]) + mix64(words[at + 8] * U64(3)) + mix64(words[at + length - 8] * U64(5)) + residue[starts].astype(U64)
+    alive = np.sort(_tied(ends)[0])
+    n_windows, starts = len(starts), starts[alive]
+    used = np.zeros(len(heads), bool)
+    used[context[starts]] = True
+    in_sample = np.flatnonzero(_IN_COVER[residue] & used[context])
     ranks = _cover_ranks(words, places[in_sample], (base[:-1] + sizes)[context[in_sample]], length)
-    is_start = within < n[context]
-    suffix, owner, residue, offset = places[is_start], context[is_start], residue[is_start], within[is_start]
-    del context, within, places, in_sample, is_start
+    suffix, owner, residue, offset = places[starts], context[starts], residue[starts], within[starts]
+    del context, within, places, in_sample, starts, at, ends
 
     order_of = np.empty(len(heads), np.int64)
     order_of[np.lexsort((heads["start"], heads["idx"], chunks, heads["doc"]))] = np.arange(len(heads))
     rank = (order_of[owner] << 16) | offset
-    repeated = np.zeros(len(suffix), bool)
+    found = np.zeros(len(suffix), bool)
     blocks = max(1, math.ceil(len(suffix) / SORTED_AT_ONCE))
     head = words[suffix]
     if blocks > 1:
@@ -240,20 +257,27 @@ def repeats(heads: np.ndarray, chunks: np.ndarray, text: np.ndarray, length: int
         own = np.flatnonzero(block == b) if blocks > 1 else np.arange(len(suffix))
         if len(own) < 2:
             continue
-        at, k0 = suffix[own], head[own]
-        k1 = words[at + 8]
-        tie = (residue[own] << 40) | ranks[at + _SHIFT[residue[own]]]
-        order = np.lexsort((tie, k1, k0))
-        x, y = order[:-1], order[1:]
-        near = np.flatnonzero((k0[x] == k0[y]) & (k1[x] == k1[y]) & (residue[own[x]] == residue[own[y]]))
+        # by 8 bytes, then 16, where what is alone falls out; then by place in the cover's period and the cover's rank
+        order, group = _tied(head[own])
+        own = own[order]
+        order, group = _tied((group << 32) | _ranked(words[suffix[own] + 8]))
+        own = own[order]
+        if not len(own):
+            continue
+        order = np.argsort((group << 32) | _ranked((residue[own] << 40) | ranks[suffix[own] + _SHIFT[residue[own]]]))
+        own, group = own[order], group[order]
+        at = suffix[own]
+        near = np.flatnonzero((group[1:] == group[:-1]) & (residue[own[1:]] == residue[own[:-1]]))
         for ahead in [*range(16, length - 8, 8), length - 8]:
-            near = near[words[at[x[near]] + ahead] == words[at[y[near]] + ahead]]
-        joined = np.zeros(len(order), bool)
+            near = near[words[at[near] + ahead] == words[at[near + 1] + ahead]]
+        joined = np.zeros(len(own), bool)
         joined[near + 1] = True
-        group = np.flatnonzero(~joined)
-        ordered = rank[own[order]]
-        least = np.minimum.reduceat(ordered, group)
-        repeated[own[order]] = ordered > np.repeat(least, np.diff(np.append(group, len(order))))
+        first = np.flatnonzero(~joined)
+        ordered = rank[own]
+        least = np.minimum.reduceat(ordered, first)
+        found[own] = ordered > np.repeat(least, np.diff(np.append(first, len(own))))
+    repeated = np.zeros(n_windows, bool)
+    repeated[alive] = found
     return repeated
 
 
