@@ -7,13 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.store import cut
-from tessera.llm.textarrays import slices, utf8
+from tessera.llm.textarrays import released, slices, utf8
 
 BUCKETS = 1 << 16
 SAMPLE = 8000  # labelled documents, about, from which the text model is fitted
@@ -102,24 +101,29 @@ def likelihoods(df: DataFrame, model: Model, text: str = "text", out: str = "log
     """``df`` with the tempered log likelihood of each language for each whole text; null for a text of under three bytes."""
     shared = df.sparkSession.sparkContext.broadcast(model.table)  # BUCKETS x languages
 
-    @F.pandas_udf("array<double>")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = shared.value
-        for series in texts:
-            data, offsets = utf8(pa.array(series, pa.large_string()))
-            out: list[np.ndarray | None] = []
+        n_languages = table.shape[1]
+        for column in texts:
+            data, offsets = utf8(column)
+            parts, spoken = [], []
             for first, last in slices(offsets, 1 << 19):
                 part = offsets[first : last + 1]
                 grams, bounds = _trigrams(data[part[0] : part[-1]], part - part[0])
                 n = np.diff(bounds)
                 full = np.flatnonzero(n > 0)
-                total = np.zeros((len(n), table.shape[1]))
-                if len(full):
-                    for j in range(table.shape[1]):
-                        total[full, j] = np.add.reduceat(table[:, j][grams], bounds[:-1][full], dtype=np.float64)
-                scaled = total / np.maximum(n, 1)[:, None] * np.minimum(n, EFFECTIVE)[:, None]
-                out += [row if k else None for row, k in zip(scaled, n > 0, strict=True)]
-            yield pd.Series(out, dtype=object)
+                total = np.zeros((len(n), n_languages))
+                for j in range(n_languages if len(full) else 0):
+                    total[full, j] = np.add.reduceat(table[:, j][grams], bounds[:-1][full], dtype=np.float64)
+                parts.append(total / np.maximum(n, 1)[:, None] * np.minimum(n, EFFECTIVE)[:, None])
+                spoken.append(n > 0)
+            values = np.concatenate(parts).ravel() if parts else np.zeros(0)
+            none = ~np.concatenate(spoken) if spoken else np.zeros(0, bool)
+            at = pa.array(np.arange(len(none) + 1, dtype=np.int32) * n_languages)
+            del data, offsets, column
+            released()
+            yield pa.ListArray.from_arrays(at, pa.array(values), mask=pa.array(none))
 
     return df.withColumn(out, score(F.col(text)))
 

@@ -13,11 +13,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tessera.llm.textarrays import released
+
 TIERS = (2048, 1024, 512, 256, 128, 64)
 END = 1
 STEP_TOKENS = 16 * 2048
 ROUND_TOKENS = 4 << 20  # tokens that are packed together
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 MARK = "~"
 MARKS = ".,;:!?*#$%&|"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, capacity long, step_group long"
@@ -43,6 +45,18 @@ class Encoder:
         self.known: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, np.uint32)
         self.first, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.uses = np.zeros(1, np.int64)
+
+    def trim(self) -> None:
+        """Forget words that were met only once or twice, so that a worker keeps little between tasks."""
+        kept = np.flatnonzero(self.uses > 2)
+        kept = kept[kept > 0]
+        ids, at = self._gather(kept)
+        names = list(self.known)
+        words, uses = [names[k] for k in kept.tolist()], self.uses[kept]
+        self._clear()
+        self._keep(words, np.diff(at), ids)
+        self.uses[1:] = uses
 
     def _keep(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.known)
@@ -50,6 +64,7 @@ class Encoder:
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
         self.ids = np.concatenate([self.ids, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known words one after another, and where each word's begin."""
@@ -101,11 +116,12 @@ class Encoder:
                 counts[k + 1] = len(own)
         new = set(words) - self.known.keys()
         if len(self.known) + len(new) > WORDS_KEPT:
-            self._clear()
-            new = set(words) - {""}
+            self.trim()
+            new = set(words) - self.known.keys()
         if new:
             self._learn(list(new))
         which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.uses += np.bincount(which, minlength=len(self.uses))
         ids, at = self._gather(which)
         bounds = at[np.cumsum(counts)] + np.arange(len(column) + 1)
         out = np.full(int(bounds[-1]), end, np.uint32)
@@ -275,5 +291,8 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step_t
         yield from out(packer.close(True))
         if waiting:
             yield table(waiting)
+        if encoder:
+            encoder.trim()
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
