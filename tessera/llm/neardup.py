@@ -33,7 +33,9 @@ DRAWS = 1 << 16
 ESTIMATE = 0.56  # four standard errors below SIMILARITY with 48 samples
 ALIKE = 0.72
 PAIRWISE = 32
-PAIRS = 3  # leaders that a text of a larger bucket is compared with
+PAIRS = 3  # leaders that a text of a larger bucket is compared with at first
+MOST = 16  # texts of other components that it is compared with in the next round; eight times as many in each later one
+CELL = 1 << 25  # estimates that one share of a larger bucket makes
 SENT = 3  # texts of a component that a task sends on for each bucket
 LOCAL = 8_000  # texts that are compared within a task
 CHUNK_SHINGLES = 4 << 20
@@ -142,20 +144,22 @@ def _estimates(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (rows == one).mean(axis=1)
 
 
-def bucket_pairs(band: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Pairs worth comparing among nodes that share a band.
+def bucket_pairs(band: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[int]]:
+    """The first pairs to compare among nodes that share a band, and the rows of buckets that have more pairs.
 
     Small buckets: every pair whose sketches agree enough. Large ones: leaders are chosen in an order that differs
-    from band to band; a node whose sketch is like a leader's needn't lead, and is paired with the first few leaders
-    that it may be similar to. The number of pairs follows the nodes, not their square.
+    from band to band, and a node is paired with the first few that it may be similar to. That joins most of a group
+    of near copies at a cost that follows the nodes; ``_rest`` compares what it leaves apart.
     """
     order = np.argsort(band, kind="stable")
     cuts = np.flatnonzero(band[order][1:] != band[order][:-1]) + 1
     pairs: set[tuple[bytes, bytes]] = set()
+    crowded: list[int] = []
     for rows in np.split(order, cuts):
         rows = np.array(list({node[r]: r for r in rows.tolist()}.values()))
         large = len(rows) > PAIRWISE
         if large:
+            crowded += rows.tolist()
             salt = (int(band[rows[0]]) % (1 << 64)).to_bytes(8, "little")
             rows = rows[np.argsort([hashlib.blake2b(node[r], digest_size=8, key=salt).digest() for r in rows.tolist()], kind="stable")]
         own, free, paired = sketch[rows], np.ones(len(rows), bool), np.zeros(len(rows), int)
@@ -171,7 +175,7 @@ def bucket_pairs(band: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> list
             else:
                 chosen = np.flatnonzero(est[k + 1 :] >= ESTIMATE) + k + 1
             pairs.update((min(node[rows[j]], node[rows[k]]), max(node[rows[j]], node[rows[k]])) for j in chosen.tolist())
-    return list(pairs)
+    return list(pairs), crowded
 
 
 def weighted_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
@@ -306,7 +310,10 @@ def _sign(idf_shared, words: int, similarity: float):
 
 
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a task's buckets; the rows of a bucket are all in this task."""
+    """Rows of two kinds: the first pairs (node, other) of a task's buckets and (band, node, sketch) of those that have more.
+
+    The rows of a bucket are all in this task.
+    """
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
@@ -322,9 +329,71 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     node = np.array(table["node"].to_pylist(), object)
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
-    pairs = bucket_pairs(table["band"].to_numpy(), node, sketch)
+    pairs, crowded = bucket_pairs(table["band"].to_numpy(), node, sketch)
     if pairs:
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["node", "other"])
+        yield _rows([pa.nulls(len(pairs)), [p[0] for p in pairs], pa.nulls(len(pairs)), pa.nulls(len(pairs)), [p[1] for p in pairs]])
+    for first in range(0, len(crowded), 1 << 16):
+        at = crowded[first : first + (1 << 16)]
+        more = table.take(pa.array(at))
+        yield _rows([pa.nulls(len(at)), node[at].tolist(), more["band"].combine_chunks(), more["sketch"].to_pylist(), pa.nulls(len(at))])
+
+
+def _rest(most: int):
+    """(node, other, more): for each leading row of a cell the ``most`` rows of other components whose sketches agree best.
+
+    ``more`` says that the node has others that agree enough. All rows of a bucket are in each of its cells.
+    """
+    schema = pa.schema([("node", pa.binary()), ("other", pa.binary()), ("more", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        table = pa.Table.from_batches(tables).sort_by([("band", "ascending"), ("cell", "ascending"), ("root", "ascending"), ("node", "ascending")])
+        band, cell, lead = table["band"].to_numpy(), table["cell"].to_numpy(), table["lead"].to_numpy()
+        node = table["node"].to_pylist()
+        roots = table["root"].to_pylist()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
+        fresh = np.flatnonzero((band[1:] != band[:-1]) | (cell[1:] != cell[:-1])) + 1
+        other_root = np.array([True] + [x != y for x, y in zip(roots[1:], roots[:-1], strict=True)])
+        other_root[fresh] = True
+        starts = np.append(np.flatnonzero(other_root), len(node))
+        out: list[tuple[bytes, bytes, bool]] = []
+        for first, last in zip([0, *fresh.tolist()], [*fresh.tolist(), len(node)], strict=True):
+            for k in (np.flatnonzero(lead[first:last]) + first).tolist():
+                group = int(np.searchsorted(starts, k, "right"))
+                a, b = int(starts[group - 1]), int(starts[group])  # rows of its own component
+                est = np.concatenate([_estimates(sketch[first:a], sketch[k]), _estimates(sketch[b:last], sketch[k])])
+                chosen = np.flatnonzero(est >= ESTIMATE)
+                more = len(chosen) > most
+                if more:
+                    chosen = chosen[np.argsort(-est[chosen], kind="stable")[:most]]
+                chosen = np.where(chosen < a - first, chosen + first, chosen - (a - first) + b)
+                out += [(min(node[j], node[k]), max(node[j], node[k]), more) for j in chosen.tolist()]
+                if len(out) >= 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def rest(crowded: DataFrame, roots: DataFrame, most: int) -> DataFrame | None:
+    """Pairs of large buckets that no chain of links joins yet (see ``_rest``); none if each bucket is one component.
+
+    The leading rows of a bucket are dealt to cells, as many as its estimates need, so a bucket isn't one task.
+    """
+    rows = crowded.select("band", "node", "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = cut(rows)
+    sizes = rows.groupBy("band", "root").agg(F.count("*").cast("double").alias("c")).groupBy("band").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("work"))
+    sizes = cut(sizes.where("work > 0").select("band", F.ceil(F.col("work") / CELL).cast("int").alias("cells")))
+    if sizes.isEmpty():
+        return None
+    spread = rows.join(sizes, "band").select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    spread = spread.select("band", "cell", "node", "sketch", "root", (F.pmod(F.xxhash64("node"), F.col("cells")) == F.col("cell")).alias("lead"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(spread.repartition(n, "band", "cell").mapInArrow(_rest(most), "node binary, other binary, more boolean"))
 
 
 def _vectors(words: int):
@@ -430,21 +499,32 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
     # tasks as many as shuffle partitions, so each gathers whole buckets
     banded = signed.where("band is not null").select("band", "node", "sketch")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    across = banded.repartition(n, "band").mapInArrow(_bucketed, "node binary, other binary")
-    pairs = cut(across.distinct())
+    across = cut(banded.repartition(n, "band").mapInArrow(_bucketed, _SIGNED))
+    crowded = across.where("other is null")
 
     low = idf.shingles & U64(0xFFFFFFFF)
     order = np.argsort(low, kind="stable")
     low_idf = spark.sparkContext.broadcast((low[order].astype(np.uint32), idf.weights[order]))
-    wanted = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
-    vectors = docs.where("text is not null").select("text").mapInArrow(_vectors(words), "node binary, vector binary")
-    vectors = vectors.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("vector").alias("vector"))
-    vectors = cut(vectors)
-    sided = pairs.join(vectors.withColumnRenamed("vector", "va").hint("merge"), "node")
-    sided = sided.join(vectors.select(F.col("node").alias("other"), F.col("vector").alias("vb")).hint("merge"), "other")
-    links = cut(sided.mapInArrow(_verify(low_idf, similarity), "node binary, other binary, similarity double"))
-
-    roots = components(local.union(links.select("node", "other")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        wanted = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
+        vectors = docs.where("text is not null").select("text").mapInArrow(_vectors(words), "node binary, vector binary")
+        vectors = vectors.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("vector").alias("vector"))
+        vectors = cut(vectors)
+        sided = pairs.join(vectors.withColumnRenamed("vector", "va").hint("merge"), "node")
+        sided = sided.join(vectors.select(F.col("node").alias("other"), F.col("vector").alias("vb")).hint("merge"), "other")
+        return cut(sided.mapInArrow(_verify(low_idf, similarity), "node binary, other binary, similarity double")).select("node", "other")
+
+    roots = components(local.union(verified(across.where("other is not null").select("node", "other"))))
+    most = MOST
+    while not crowded.isEmpty() and (left := rest(crowded, roots, most)) is not None and not left.isEmpty():
+        links = verified(left.select("node", "other"))
+        if not links.isEmpty():
+            roots = components(roots.select("node", F.col("root").alias("other")).union(links))
+        if left.where("more").isEmpty():
+            break
+        most *= 8
     per_node = named.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("node is not null")
     per_node = per_node.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     per_root = per_node.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"))

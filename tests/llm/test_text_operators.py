@@ -214,3 +214,31 @@ def test_components_of_chains(spark):
     edges = [(f"{k:04d}".encode(), f"{k + 1:04d}".encode()) for k in range(60) if k != 30]
     got = {bytes(r.node): bytes(r.root) for r in neardup.components(spark.createDataFrame(edges, "node binary, other binary")).collect()}
     assert got[b"0030"] == b"0000" and got[b"0060"] == b"0031" and len(got) == 59
+
+
+def _family(texts, seed=5):
+    """Texts that share about two thirds of their shingles with each other, and over four fifths with their partner."""
+    rng = np.random.default_rng(seed)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+
+    def edited(words, runs, length):
+        words = list(words)
+        for at in rng.choice(len(words) // 20, runs, replace=False) * 20:
+            words[at : at + length] = [word() for _ in range(length)]
+        return words
+
+    base, rows = [word() for _ in range(500)], []
+    for k in range(texts // 2):
+        own = edited(base, 4, 10)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited(own, 3, 11)))]
+    return rows
+
+
+def test_members_of_a_family_below_the_threshold_meet_their_partners(spark):
+    rows = _family(300)
+    bags = [set(_bag(t)) for _, t in rows]
+    alike = lambda a, b: len(bags[a] & bags[b]) / len(bags[a] | bags[b])
+    assert min(alike(2 * k, 2 * k + 1) for k in range(150)) > 0.82 and max(alike(0, k) for k in range(2, 300)) < 0.79
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 300), "doc_id long, text string")  # each in a task of its own
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert [k for k in range(150) if got[2 * k] != got[2 * k + 1]] == []
