@@ -11,6 +11,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ PAIRWISE = 32
 PAIRS = 3  # leaders that a text of a larger bucket is compared with at first
 MOST = 16  # texts of other components that it is compared with in the next round; eight times as many in each later one
 CELL = 1 << 25  # estimates that one share of a larger bucket makes
-SENT = 3  # texts of a component that a task sends on for each bucket
+FIRST = 3  # texts of a task's component that take part in a larger bucket's first pairs
 LOCAL = 8_000  # texts that are compared within a task
 CHUNK_SHINGLES = 4 << 20
 _KEYS = (np.random.default_rng(20).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) << U64(1)) | U64(1)
@@ -144,12 +145,13 @@ def _estimates(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (rows == one).mean(axis=1)
 
 
-def bucket_pairs(band: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[int]]:
+def bucket_pairs(band: np.ndarray, node: np.ndarray, sketch: np.ndarray, root: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[int]]:
     """The first pairs to compare among nodes that share a band, and the rows of buckets that have more pairs.
 
-    Small buckets: every pair whose sketches agree enough. Large ones: leaders are chosen in an order that differs
-    from band to band, and a node is paired with the first few that it may be similar to. That joins most of a group
-    of near copies at a cost that follows the nodes; ``_rest`` compares what it leaves apart.
+    Nodes of one root are linked already. Small buckets: every other pair whose sketches agree enough. Large ones: the
+    first few nodes of each root take part; leaders are chosen in an order that differs from band to band, and a node
+    is paired with the first few that it may be similar to. That joins most of a group of near copies at a cost that
+    follows the nodes; ``_rest`` compares what it leaves apart.
     """
     order = np.argsort(band, kind="stable")
     cuts = np.flatnonzero(band[order][1:] != band[order][:-1]) + 1
@@ -157,21 +159,28 @@ def bucket_pairs(band: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tupl
     crowded: list[int] = []
     for rows in np.split(order, cuts):
         rows = np.array(list({node[r]: r for r in rows.tolist()}.values()))
+        if (root[rows] == root[rows[0]]).all():
+            continue
         large = len(rows) > PAIRWISE
         if large:
             crowded += rows.tolist()
             salt = (int(band[rows[0]]) % (1 << 64)).to_bytes(8, "little")
             rows = rows[np.argsort([hashlib.blake2b(node[r], digest_size=8, key=salt).digest() for r in rows.tolist()], kind="stable")]
+            seen: dict[int, list[int]] = {}
+            for r in rows.tolist():
+                seen.setdefault(int(root[r]), []).append(r)
+            rows = np.array([r for own in zip_longest(*(x[:FIRST] for x in seen.values())) for r in own if r is not None])
+        of = root[rows]
         own, free, paired = sketch[rows], np.ones(len(rows), bool), np.zeros(len(rows), int)
         for k in range(len(rows) if len(rows) > 1 else 0):
             if not free[k]:
                 continue
             est = _estimates(own, own[k])
-            est[k] = 0
+            est[of == of[k]] = 0
             if large:
                 chosen = np.flatnonzero((est >= ESTIMATE) & (paired < PAIRS))
                 paired[chosen] += 1
-                free &= est < ALIKE
+                free &= (est < ALIKE) & (of != of[k])
             else:
                 chosen = np.flatnonzero(est[k + 1 :] >= ESTIMATE) + k + 1
             pairs.update((min(node[rows[j]], node[rows[k]]), max(node[rows[j]], node[rows[k]])) for j in chosen.tolist())
@@ -189,7 +198,7 @@ def weighted_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarra
 class Local:
     """The distinct texts of a part of a task: joined to components where they share a band and are similar enough.
 
-    What is linked here needs no comparison elsewhere, so a component sends at most SENT of its texts on for each bucket.
+    What is linked here needs no comparison with each other elsewhere, so texts go on with their component's root.
     """
 
     def __init__(self, idf: Idf, similarity: float) -> None:
@@ -207,8 +216,8 @@ class Local:
         self.bands.append(band)
         self.sketches.append(sketch)
 
-    def close(self) -> tuple[list[tuple[bytes, bytes]], list[tuple[int, int]]]:
-        """Links, as few as join the components, and the (text, band) that go on."""
+    def close(self) -> tuple[list[tuple[bytes, bytes]], list[bytes | None]]:
+        """Links, as few as join the components, and the root of each text; none where it is joined to no other."""
         parent = list(range(len(self.names)))
 
         def find(x: int) -> int:
@@ -233,15 +242,9 @@ class Local:
                     if weighted_jaccard(*self.bags[i], *self.bags[j]) >= self.similarity - 1e-12:
                         parent[find(i)] = find(j)
                         links.append((min(self.names[i], self.names[j]), max(self.names[i], self.names[j])))
-        sent: list[tuple[int, int]] = []
-        for group in groups:
-            seen: dict[int, int] = {}
-            for row in group.tolist():
-                root = find(row // BANDS)
-                seen[root] = seen.get(root, 0) + 1
-                if seen[root] <= SENT:
-                    sent.append((row // BANDS, row % BANDS))
-        return links, sent
+        roots = [find(i) for i in range(len(self.names))]
+        joined = {r for i, r in enumerate(roots) if i != r}
+        return links, [self.names[r] if r in joined else None for r in roots]
 
 
 _SIGNED = "doc_id long, node binary, band long, sketch binary, other binary"
@@ -253,10 +256,10 @@ def _rows(columns: list) -> pa.RecordBatch:
 
 
 def _sign(idf_shared, words: int, similarity: float):
-    """Rows of three kinds: (doc_id, node), links (node, other) and (node, band, sketch).
+    """Rows of three kinds: (doc_id, node), links (node, other) and (node, band, sketch, other: the component's root).
 
     A node is a distinct text, named by a 128-bit hash of it. Texts of one task that share a band are linked here,
-    so that a bucket gathers no more than a few texts of each component and task.
+    so that a bucket needs no pairs within a component.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,13 +267,14 @@ def _sign(idf_shared, words: int, similarity: float):
         done: set[bytes] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            links, sent = local.close()
+            links, roots = local.close()
             if links:
                 none = [None] * len(links)
                 yield _rows([none, [x[0] for x in links], none, none, [x[1] for x in links]])
-            none = [None] * len(sent)
-            names = [local.names[i] for i, _ in sent]
-            yield _rows([none, names, [int(local.bands[i][k].view(np.int64)) for i, k in sent], [local.sketches[i].tobytes() for i, _ in sent], none])
+            for first in range(0, len(roots), 1000):
+                at = range(first, min(first + 1000, len(roots)))
+                names, sketches, other = ([x for i in at for x in [of(i)] * BANDS] for of in (local.names.__getitem__, lambda i: local.sketches[i].tobytes(), roots.__getitem__))
+                yield _rows([pa.nulls(len(names)), names, pa.array(np.concatenate(local.bands[first : first + 1000]).view(np.int64)), sketches, other])
 
         for batch in batches:
             idf = idf or Idf(*idf_shared.value)
@@ -329,7 +333,9 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     node = np.array(table["node"].to_pylist(), object)
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
-    pairs, crowded = bucket_pairs(table["band"].to_numpy(), node, sketch)
+    number: dict[bytes, int] = {}
+    root = np.array([number.setdefault(r or x, len(number)) for r, x in zip(table["other"].to_pylist(), node.tolist(), strict=True)])
+    pairs, crowded = bucket_pairs(table["band"].to_numpy(), node, sketch, root)
     if pairs:
         yield _rows([pa.nulls(len(pairs)), [p[0] for p in pairs], pa.nulls(len(pairs)), pa.nulls(len(pairs)), [p[1] for p in pairs]])
     for first in range(0, len(crowded), 1 << 16):
@@ -495,9 +501,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
     shared = spark.sparkContext.broadcast((idf.shingles, idf.weights))
     signed = cut(docs.select("doc_id", "text").mapInArrow(_sign(shared, words, similarity), _SIGNED))
     named = signed.where("band is null and other is null").select("doc_id", "node")
-    local = signed.where("other is not null").select("node", "other")
+    local = signed.where("band is null and other is not null").select("node", "other")
     # tasks as many as shuffle partitions, so each gathers whole buckets
-    banded = signed.where("band is not null").select("band", "node", "sketch")
+    banded = signed.where("band is not null").select("band", "node", "sketch", "other")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     across = cut(banded.repartition(n, "band").mapInArrow(_bucketed, _SIGNED))
     crowded = across.where("other is null")

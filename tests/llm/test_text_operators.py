@@ -242,3 +242,26 @@ def test_members_of_a_family_below_the_threshold_meet_their_partners(spark):
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 300), "doc_id long, text string")  # each in a task of its own
     got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
     assert [k for k in range(150) if got[2 * k] != got[2 * k + 1]] == []
+
+
+def test_every_member_of_a_component_meets_texts_of_other_tasks(spark):
+    # one task holds a base and edits of it, all linked; others hold an edit of one of those, too far from the rest
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+
+    def edited(words, start, runs):
+        words = list(words)
+        for at in range(start, start + runs * 10, 10):
+            words[at : at + 5] = [word() for _ in range(5)]
+        return words
+
+    base = [word() for _ in range(500)]
+    copies = [edited(base, 10 * (k % 45), 5) for k in range(60)]
+    outside = [edited(copies[k], (10 * (k % 45) + 250) % 450, 5) for k in range(60)]
+    rows = [(0, " ".join(base)), *((1 + k, " ".join(t)) for k, t in enumerate(copies)), *((100 + k, " ".join(t)) for k, t in enumerate(outside))]
+    bags = {d: set(_bag(t)) for d, t in rows}
+    alike = lambda a, b: len(bags[a] & bags[b]) / len(bags[a] | bags[b])
+    assert all(alike(0, 1 + k) > 0.82 and alike(100 + k, 1 + k) > 0.82 and alike(100 + k, 0) < 0.72 for k in range(60))
+    inside = spark.createDataFrame(rows[:61], "doc_id long, text string").coalesce(1)
+    docs = inside.unionAll(spark.createDataFrame(spark.sparkContext.parallelize(rows[61:], 60), "doc_id long, text string"))
+    assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
