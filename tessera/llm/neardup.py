@@ -403,7 +403,10 @@ def rest(crowded: DataFrame, roots: DataFrame, most: int) -> DataFrame | None:
 
 
 def _vectors(words: int):
-    """(node, vector) of each distinct text of a batch: shingles in ascending order, then how often each occurs."""
+    """(node, vector) of each distinct text of a batch: shingles in ascending order, then how often each occurs.
+
+    Counts take a byte each, or four where one of the text exceeds 255, and are left out where all are one.
+    """
     schema = pa.schema([("node", pa.binary()), ("vector", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,12 +418,12 @@ def _vectors(words: int):
                 shingles, counts, bounds = bags(piece, part - part[0], words)
                 raw, cuts = piece.tobytes(), (part - part[0]).tolist()
                 low = (shingles & U64(0xFFFFFFFF)).astype("<u4")
-                few = np.minimum(counts, 255).astype(np.uint8)
                 out: dict[bytes, bytes] = {}
                 for v, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     if b > a:
                         name = hashlib.md5(raw[cuts[v] : cuts[v + 1]], usedforsecurity=False).digest()
-                        tail = few[a:b].tobytes() if few[a:b].max() > 1 else b""
+                        most = counts[a:b].max()
+                        tail = counts[a:b].astype(np.uint8 if most < 256 else "<u4").tobytes() if most > 1 else b""
                         out[name] = (b - a).to_bytes(4, "little") + low[a:b].tobytes() + tail
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], schema=schema)
@@ -431,7 +434,8 @@ def _vectors(words: int):
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(raw[:4], "little")
     low = np.frombuffer(raw, "<u4", n, 4)
-    counts = np.frombuffer(raw, np.uint8, n, 4 + 4 * n) if len(raw) > 4 + 4 * n else np.ones(n, np.uint8)
+    width = (len(raw) - 4 - 4 * n) // max(n, 1)
+    counts = np.frombuffer(raw, np.uint8 if width == 1 else "<u4", n, 4 + 4 * n) if width else np.ones(n, np.uint8)
     order = np.argsort(low, kind="stable")
     return low[order], counts[order].astype(float)
 

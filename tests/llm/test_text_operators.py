@@ -265,3 +265,17 @@ def test_every_member_of_a_component_meets_texts_of_other_tasks(spark):
     inside = spark.createDataFrame(rows[:61], "doc_id long, text string").coalesce(1)
     docs = inside.unionAll(spark.createDataFrame(spark.sparkContext.parallelize(rows[61:], 60), "doc_id long, text string"))
     assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
+
+
+def test_vectors_hold_counts_of_every_size():
+    def bag(repeats, others):
+        text = " ".join(["a b c d e"] * repeats + [f"{others}{k}" for k in range(100)])
+        (batch,) = neardup._vectors(5)(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])]))
+        low, counts = neardup._unpack(batch.column("vector")[0].as_py())
+        assert sorted(counts.tolist()) == sorted(_bag(text).values())
+        return low, counts
+
+    assert 0.95 < neardup.weighted_jaccard(*bag(1000, "x"), *bag(1000, "y")) < 0.97
+    assert neardup.weighted_jaccard(*bag(255, "x"), *bag(400, "x")) < 0.7
+    for repeats in (1, 2, 255, 256):
+        bag(repeats, "x")
