@@ -8,14 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.store import cut
 from tessera.llm.textarrays import released, slices, utf8
 
 BUCKETS = 1 << 16
-SAMPLE = 8000  # labelled documents, about, from which the text model is fitted
+SAMPLE = 8000  # distinct labelled texts, at most, from which the text model is fitted
 LEAST_LABELS = 3
 #: A text's likelihood is tempered to so many independent trigrams at most, so that other evidence can still speak.
 EFFECTIVE = 60.0
@@ -56,19 +56,24 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """The text model from about ``sample`` labelled documents, chosen by a hash of their whole text.
+    """The text model from at most ``sample`` distinct labelled texts, equally many of each language, the least by a hash.
 
     The bound on the sample is a parameter; what reaches the driver is one count vector for each language and
-    each of four tasks. Languages with fewer than three documents in it are left out; no labels, an empty model.
+    each of four tasks. Labels are counted over all rows: languages with fewer than three documents are left out; no
+    labels, an empty model. Each language has three texts at least, so very many languages exceed the sample.
     """
     labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    n = labelled.count()
-    share = int(min(1.0, sample / max(n, 1)) * 1_000_000)
-    chosen = labelled.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < share).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    labelled = labelled.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    known = sorted(r["label"] for r in labelled.groupBy("label").count().where(F.col("count") >= LEAST_LABELS).collect())
+    if not known:
+        return Model((), np.empty((BUCKETS, 0), np.float32))
+    each = max(LEAST_LABELS, sample // len(known))
+    least = labelled.select("label", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("place") <= each)
+    last = least.groupBy("label").agg(F.max("h").alias("last"))
+    chosen = labelled.join(F.broadcast(last), "label").where("h <= last").groupBy("label", "h").agg(F.first("text").alias("text")).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
             labels = np.array(batch.column("label").to_pylist(), object)
             for lang in set(labels.tolist()):
@@ -78,18 +83,15 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample: int =
                     part = offsets[first : last + 1]
                     grams, _ = _trigrams(data[part[0] : part[-1]], part - part[0])
                     sums[lang] = sums.get(lang, 0) + np.bincount(grams, minlength=BUCKETS)
-                seen[lang] = seen.get(lang, 0) + len(own)
         if sums:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums)), pa.array([seen[k] for k in sums], pa.int64()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["label", "n", "counts"]
+                [pa.array(list(sums)), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["label", "counts"]
             )
 
     total: dict[str, np.ndarray] = {}
-    seen: dict[str, int] = {}
-    for row in chosen.repartition(4).mapInArrow(count, "label string, n long, counts binary").toLocalIterator():
+    for row in chosen.repartition(4).mapInArrow(count, "label string, counts binary").toLocalIterator():
         total[row["label"]] = total.get(row["label"], 0) + np.frombuffer(row["counts"], "<i8")
-        seen[row["label"]] = seen.get(row["label"], 0) + row["n"]
-    languages = tuple(sorted(k for k, v in seen.items() if v >= LEAST_LABELS and total[k].sum()))
+    languages = tuple(sorted(k for k in known if k in total and total[k].sum()))
     table = np.empty((BUCKETS, len(languages)), np.float32)
     for j, lang in enumerate(languages):
         smooth = total[lang] + 0.5

@@ -205,3 +205,13 @@ def test_deep_and_broken_pages():
     assert deep.extract([])[0].startswith("text text")
     for broken in ("<", "<p", "<p a='", "<!-- x", "<script>", "</p></div>", "<a href=x>y", "\x00<p>z", "<p/>q<br/>r"):
         assert isinstance(html.Page(broken).extract([])[0], str)
+
+
+def test_language_sample_holds_every_label_and_counts_copies_once(spark):
+    from tessera.llm import language
+
+    rows = [(f"one two three {k}", "en") for k in range(600)] + [("the same text again", "en")] * 600 + [(f"uno dos tres {k}", "es") for k in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample=40)
+    assert model.languages == ("en", "es")
+    once = language.fit(spark.createDataFrame([*dict.fromkeys(rows)], "text string, lang string"), sample=40)
+    assert (model.table == once.table).all()
