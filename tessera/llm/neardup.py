@@ -517,7 +517,6 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
     low_idf = spark.sparkContext.broadcast((low[order].astype(np.uint32), idf.weights[order]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
         wanted = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
         vectors = docs.where("text is not null").select("text").mapInArrow(_vectors(words), "node binary, vector binary")
         vectors = vectors.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("vector").alias("vector"))
@@ -526,10 +525,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
         sided = sided.join(vectors.select(F.col("node").alias("other"), F.col("vector").alias("vb")).hint("merge"), "other")
         return cut(sided.mapInArrow(_verify(low_idf, similarity), "node binary, other binary, similarity double")).select("node", "other")
 
-    roots = components(local.union(verified(across.where("other is not null").select("node", "other"))))
+    tried = cut(across.where("band is null").select("node", "other").distinct())
+    roots = components(local.union(verified(tried)))
     most = MOST
     while not crowded.isEmpty() and (left := rest(crowded, roots, most)) is not None and not left.isEmpty():
-        links = verified(left.select("node", "other"))
+        fresh = cut(left.select("node", "other").distinct().join(tried, ["node", "other"], "left_anti"))
+        tried = cut(tried.union(fresh))
+        links = verified(fresh)
         if not links.isEmpty():
             roots = components(roots.select("node", F.col("root").alias("other")).union(links))
         if left.where("more").isEmpty():
