@@ -2,7 +2,9 @@
 
 The signature of a text holds one consistent weighted sample of its shingles for each of BANDS * ROWS hash functions;
 two texts share a sample with a probability equal to their weighted Jaccard similarity. Texts that share a whole band
-are compared, and links are those whose weighted Jaccard similarity, computed on all shingles, reaches the threshold.
+are candidates, and links are those whose weighted Jaccard similarity, computed on all shingles, reaches the threshold.
+Small buckets have all their pairs verified. Large ones have a few likely pairs verified first; then each text outside
+a bucket's largest component is compared with all texts of other components, block against block.
 """
 
 from __future__ import annotations
@@ -11,35 +13,34 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import cut
+from tessera.llm.store import cut, small_batches
 from tessera.llm.textarrays import U64, bags, mix64, released, slices, utf8
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4  # a pair at 0.8 shares a band with probability 0.998
-#: A shingle counts as frequent from this share of all documents on; all rarer ones weigh the same. So at most
-#: (shingles a document) / FREQUENT of them are frequent, however large the corpus is.
+#: A shingle is frequent from this share of all documents on; all rarer ones weigh the same.
 FREQUENT = 1e-3
-#: The rarest shingle weighs 1 + GAIN times the weight of one in every document. A small gain keeps the links of a
-#: group of near copies that is itself a large share of the corpus.
-GAIN = 0.25
+#: Frequent shingles are at most so many: where documents are so long that there could be more, the share rises.
+MOST_FREQUENT = 1 << 20
 DRAWS = 1 << 16
-ESTIMATE = 0.56  # four standard errors below SIMILARITY with 48 samples
-ALIKE = 0.72
-PAIRWISE = 32
-PAIRS = 3  # leaders that a text of a larger bucket is compared with at first
-MOST = 16  # texts of other components that it is compared with in the next round; eight times as many in each later one
-CELL = 1 << 25  # estimates that one share of a larger bucket makes
-FIRST = 3  # texts of a task's component that take part in a larger bucket's first pairs
-LOCAL = 8_000  # texts that are compared within a task
-CHUNK_SHINGLES = 4 << 20
+#: Candidates whose 48 samples agree less aren't verified: six standard errors below SIMILARITY.
+ESTIMATE = 0.45
+LIKELY = 0.85
+PAIRWISE = 32  # texts of a bucket up to which all pairs are verified one by one
+PAIRS = 2  # leaders that a text of a larger bucket is compared with at first
+GROUP = 1024  # texts of a larger bucket that are looked at together for that
+BLOCK = 1 << 19  # shingles of a block
+COLUMNS = 1024  # shingles that a block's matrices hold at a time
+CHUNK_SHINGLES = 1 << 20
+HOT = 100_000  # rows of one key from which on a join spreads it
+SPREAD = 64
 _KEYS = (np.random.default_rng(20).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) << U64(1)) | U64(1)
 
 
@@ -49,7 +50,7 @@ class Idf:
 
     shingles: np.ndarray
     weights: np.ndarray
-    rare: float = 1 + GAIN
+    rare: float = 1 + math.log(1 / FREQUENT)
 
     def of(self, found: np.ndarray) -> np.ndarray:
         out = np.full(len(found), self.rare)
@@ -60,23 +61,24 @@ class Idf:
         return out
 
 
-def fit_idf(docs: DataFrame, text: str = "text", words: int = WORDS) -> Idf:
-    """Document frequencies over all documents, of the shingles that are frequent in some chunk of them.
-
-    A shingle in a share FREQUENT of all documents has that share in at least one chunk, so chunks report only
-    those. The reported counts are sums over chunks, low by less than FREQUENT of the documents; those whose sum
-    reaches FREQUENT are at most (shingles a document) / FREQUENT, which bounds what the driver collects and shares.
-    """
+def _often(words: int):
+    """(shingle, df) of what occurs in half of FREQUENT of a chunk's documents, and (null, how many there were in all)."""
+    schema = pa.schema([("shingle", pa.int64()), ("df", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = n = 0
 
         def report() -> pa.RecordBatch:
             nonlocal held, size, n
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= max(2, math.ceil(FREQUENT * n))
-            rows = pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], ["shingle", "df"])
+            everything = np.concatenate(held)
+            everything.sort()
+            first = np.flatnonzero(np.concatenate([[True], everything[1:] != everything[:-1]]))
+            times = np.diff(np.append(first, len(everything)))
+            often = times >= max(1, math.ceil(FREQUENT * n / 2))
+            found = everything[first[often]].view(np.int64)
+            columns = [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(found)]), pa.concat_arrays([pa.array([size], pa.int64()), pa.array(times[often])])]
+            rows = pa.RecordBatch.from_arrays(columns, schema=schema)
             held, size, n = [], 0, 0
             return rows
 
@@ -85,21 +87,75 @@ def fit_idf(docs: DataFrame, text: str = "text", words: int = WORDS) -> Idf:
             for first, last in slices(offsets):
                 part = offsets[first : last + 1]
                 found, _, _ = bags(data[part[0] : part[-1]], part - part[0], words)
-                held.append(found)
+                if len(found):
+                    held.append(found)
                 size, n = size + len(found), n + last - first
                 if size >= CHUNK_SHINGLES:
                     yield report()
         if held:
             yield report()
+        released()
+
+    return run
+
+
+def _families(shared, words: int):
+    """Distinct (shingle, least shingle of a text that holds it), for the frequent shingles."""
+    schema = pa.schema([("shingle", pa.int64()), ("least", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frequent = shared.value
+            data, offsets = utf8(batch.column(0))
+            for first, last in slices(offsets):
+                part = offsets[first : last + 1]
+                found, _, bounds = bags(data[part[0] : part[-1]], part - part[0], words)
+                if not len(found):
+                    continue
+                least = np.repeat(found[np.minimum(bounds[:-1], len(found) - 1)], np.diff(bounds))
+                at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+                hit = frequent[at] == found
+                found, least = found[hit], least[hit]
+                order = np.lexsort((least, found))
+                found, least = found[order], least[order]
+                new = np.ones(len(found), bool)
+                new[1:] = (found[1:] != found[:-1]) | (least[1:] != least[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(x[new].view(np.int64)) for x in (found, least)], schema=schema)
+        released()
+
+    return run
 
+
+def fit_idf(docs: DataFrame, text: str = "text", words: int = WORDS) -> Idf:
+    """Weights 1 + log(documents / frequency) of the frequent shingles, from all documents; however files are cut.
+
+    Frequent are shingles in a share FREQUENT of the documents. Chunks report what is in half of that share of
+    theirs, so every frequent shingle's reported sum is at least half its count, and those that reach that are at most
+    twice (shingles of a document) / FREQUENT, and never more than 2 * MOST_FREQUENT: that bounds what the driver
+    collects and shares. A second pass counts them exactly.
+
+    The frequency is the number of families, not of documents: texts with the same least shingle hash are one
+    family, as near copies mostly are. Else a group of near copies that is itself a large share of the corpus would make
+    its own text worthless and its few edits all that counts.
+    """
     total = docs.count()
-    counted = docs.select(text).mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
-    least = max(2.0, FREQUENT * total)
-    rows = counted.where(F.col("df") >= least).toArrow()
+    counted = cut(docs.select(text).mapInArrow(_often(words), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")))
+    everything = (counted.where("shingle is null").agg(F.sum("df")).first()[0] or 0) / max(total, 1)
+    share = max(FREQUENT, everything / MOST_FREQUENT)
+    least = max(2.0, share * total)
+    top = math.log(max(1.0, min(1 / share, total)))
+    frequent = counted.where(F.col("shingle").isNotNull() & (F.col("df") >= least / 2)).select("shingle").toArrow()["shingle"].to_numpy().view(np.uint64)
+    frequent = np.sort(frequent)
+    if not len(frequent):
+        return Idf(frequent, np.zeros(0), 1 + top)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    pairs = docs.select(text).mapInArrow(_families(shared, words), "shingle long, least long")
+    rows = pairs.distinct().groupBy("shingle").agg(F.count("*").alias("n")).toArrow()
+    shared.destroy()
     shingles = rows["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(shingles)
-    gain = np.log(max(total, 1) / np.minimum(rows["df"].to_numpy()[order], max(total, 1))) / math.log(1 / FREQUENT)
-    return Idf(shingles[order], 1 + GAIN * np.clip(gain, 0, 1))
+    weights = 1 + np.minimum(np.log(total / rows["n"].to_numpy()[order]), top)
+    return Idf(shingles[order], weights, 1 + top)
 
 
 class Sampler:
@@ -141,154 +197,40 @@ class Sampler:
         return out
 
 
-def _estimates(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+def _agreement(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The share of samples in which each row's sketch agrees with one."""
     return (rows == one).mean(axis=1)
 
 
-def bucket_pairs(band: np.ndarray, node: np.ndarray, sketch: np.ndarray, root: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[int]]:
-    """The first pairs to compare among nodes that share a band, and the rows of buckets that have more pairs.
-
-    Nodes of one root are linked already. Small buckets: every other pair whose sketches agree enough. Large ones: the
-    first few nodes of each root take part; leaders are chosen in an order that differs from band to band, and a node
-    is paired with the first few that it may be similar to. That joins most of a group of near copies at a cost that
-    follows the nodes; ``_rest`` compares what it leaves apart.
-    """
-    order = np.argsort(band, kind="stable")
-    cuts = np.flatnonzero(band[order][1:] != band[order][:-1]) + 1
-    pairs: set[tuple[bytes, bytes]] = set()
-    crowded: list[int] = []
-    for rows in np.split(order, cuts):
-        rows = np.array(list({node[r]: r for r in rows.tolist()}.values()))
-        if (root[rows] == root[rows[0]]).all():
-            continue
-        large = len(rows) > PAIRWISE
-        if large:
-            crowded += rows.tolist()
-            salt = (int(band[rows[0]]) % (1 << 64)).to_bytes(8, "little")
-            rows = rows[np.argsort([hashlib.blake2b(node[r], digest_size=8, key=salt).digest() for r in rows.tolist()], kind="stable")]
-            seen: dict[int, list[int]] = {}
-            for r in rows.tolist():
-                seen.setdefault(int(root[r]), []).append(r)
-            rows = np.array([r for own in zip_longest(*(x[:FIRST] for x in seen.values())) for r in own if r is not None])
-        of = root[rows]
-        own, free, paired = sketch[rows], np.ones(len(rows), bool), np.zeros(len(rows), int)
-        for k in range(len(rows) if len(rows) > 1 else 0):
-            if not free[k]:
-                continue
-            est = _estimates(own, own[k])
-            est[of == of[k]] = 0
-            if large:
-                chosen = np.flatnonzero((est >= ESTIMATE) & (paired < PAIRS))
-                paired[chosen] += 1
-                free &= (est < ALIKE) & (of != of[k])
-            else:
-                chosen = np.flatnonzero(est[k + 1 :] >= ESTIMATE) + k + 1
-            pairs.update((min(node[rows[j]], node[rows[k]]), max(node[rows[j]], node[rows[k]])) for j in chosen.tolist())
-    return list(pairs), crowded
-
-
 def weighted_jaccard(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
-    """Of two bags of ascending fingerprints with their weights."""
+    """Of two bags of ascending shingles with their weights."""
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     hit = y[at] == x
     shared = np.minimum(wx[hit], wy[at[hit]]).sum()
     return float(shared / (wx.sum() + wy.sum() - shared))
 
 
-class Local:
-    """The distinct texts of a part of a task: joined to components where they share a band and are similar enough.
+def _named(raw: bytes, cuts: list[int], null: list[bool]) -> list[bytes | None]:
+    return [None if z else hashlib.md5(raw[a:b], usedforsecurity=False).digest() for a, b, z in zip(cuts[:-1], cuts[1:], null, strict=True)]
 
-    What is linked here needs no comparison with each other elsewhere, so texts go on with their component's root.
-    """
 
-    def __init__(self, idf: Idf, similarity: float) -> None:
-        self.idf, self.similarity = idf, similarity
-        self.names: list[bytes] = []
-        self.bags: list[tuple[np.ndarray, np.ndarray]] = []
-        self.bands: list[np.ndarray] = []
-        self.sketches: list[np.ndarray] = []
-
-    def add(self, name: bytes, shingles: np.ndarray, counts: np.ndarray, band: np.ndarray, sketch: np.ndarray) -> None:
-        low = (shingles & U64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.argsort(low)
-        self.names.append(name)
-        self.bags.append((low[order], (counts * self.idf.of(shingles))[order]))
-        self.bands.append(band)
-        self.sketches.append(sketch)
-
-    def close(self) -> tuple[list[tuple[bytes, bytes]], list[bytes | None]]:
-        """Links, as few as join the components, and the root of each text; none where it is joined to no other."""
-        parent = list(range(len(self.names)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        band, sketch = np.concatenate(self.bands), np.stack(self.sketches)
-        order = np.argsort(band, kind="stable")
-        cuts = np.flatnonzero(band[order][1:] != band[order][:-1]) + 1
-        groups = np.split(order, cuts)
-        links: list[tuple[bytes, bytes]] = []
-        tried: set[tuple[int, int]] = set()
-        for group in groups:
-            texts = group // BANDS
-            for k in range(1, len(texts)):
-                i, before = int(texts[k]), texts[:k]
-                for j in before[_estimates(sketch[before], sketch[i]) >= ESTIMATE].tolist():
-                    if find(i) == find(j) or (i, j) in tried:
-                        continue
-                    tried.add((i, j))
-                    if weighted_jaccard(*self.bags[i], *self.bags[j]) >= self.similarity - 1e-12:
-                        parent[find(i)] = find(j)
-                        links.append((min(self.names[i], self.names[j]), max(self.names[i], self.names[j])))
-        roots = [find(i) for i in range(len(self.names))]
-        joined = {r for i, r in enumerate(roots) if i != r}
-        return links, [self.names[r] if r in joined else None for r in roots]
-
-
-_SIGNED = "doc_id long, node binary, band long, sketch binary, other binary"
-_SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("band", pa.int64()), ("sketch", pa.binary()), ("other", pa.binary())])
-
-
-def _rows(columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SIGNED_ARROW, strict=True)], schema=_SIGNED_ARROW)
-
-
-def _sign(idf_shared, words: int, similarity: float):
-    """Rows of three kinds: (doc_id, node), links (node, other) and (node, band, sketch, other: the component's root).
-
-    A node is a distinct text, named by a 128-bit hash of it. Texts of one task that share a band are linked here,
-    so that a bucket needs no pairs within a component.
-    """
+def _sign(shared, words: int):
+    """(node, size, bands, sketch) of the texts that have words; of equal texts of a task once. size: shingles with repeats."""
+    schema = pa.schema([("node", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = sampler = local = None
+        sampler = None
         done: set[bytes] = set()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            links, roots = local.close()
-            if links:
-                none = [None] * len(links)
-                yield _rows([none, [x[0] for x in links], none, none, [x[1] for x in links]])
-            for first in range(0, len(roots), 1000):
-                at = range(first, min(first + 1000, len(roots)))
-                names, sketches, other = ([x for i in at for x in [of(i)] * BANDS] for of in (local.names.__getitem__, lambda i: local.sketches[i].tobytes(), roots.__getitem__))
-                yield _rows([pa.nulls(len(names)), names, pa.array(np.concatenate(local.bands[first : first + 1000]).view(np.int64)), sketches, other])
-
         for batch in batches:
-            idf = idf or Idf(*idf_shared.value)
-            sampler, local = sampler or Sampler(idf), local or Local(idf, similarity)
-            texts, doc_ids = batch.column("text"), batch.column("doc_id")
+            sampler = sampler or Sampler(Idf(*shared.value))
+            texts = batch.column(0)
             data, offsets = utf8(texts)
-            raw, cuts, null = data.tobytes(), offsets.tolist(), texts.is_null().to_pylist()
-            names = [None if z else hashlib.md5(raw[a:b], usedforsecurity=False).digest() for a, b, z in zip(cuts[:-1], cuts[1:], null, strict=True)]
-            del raw
-            none = [None] * len(names)
-            yield _rows([doc_ids, names, none, none, none])
             for first, last in slices(offsets):
                 part = offsets[first : last + 1]
-                shingles, counts, bounds = bags(data[part[0] : part[-1]], part - part[0], words)
+                piece = data[part[0] : part[-1]]
+                part = part - part[0]
+                shingles, counts, bounds = bags(piece, part, words)
+                names = _named(piece.tobytes(), part.tolist(), [False] * (last - first))
                 full = np.flatnonzero(np.diff(bounds) > 0)
                 if not len(full):
                     continue
@@ -297,113 +239,136 @@ def _sign(idf_shared, words: int, similarity: float):
                 for j in range(ROWS):
                     band = mix64(band ^ signature[:, :, j])
                 sketch = (signature.reshape(len(full), BANDS * ROWS) & U64(0xFF)).astype(np.uint8)
+                sizes = np.add.reduceat(counts, bounds[:-1][full])
+                new = []
                 for row, v in enumerate(full.tolist()):
-                    if (name := names[first + v]) is not None and name not in done:
-                        done.add(name)
-                        own = slice(bounds[v], bounds[v + 1])
-                        local.add(name, shingles[own], counts[own], band[row], sketch[row])
-                if len(local.names) >= LOCAL:
-                    yield from flush()
-                    local = Local(idf, similarity)
-        if local and local.names:
-            yield from flush()
-        local = None
+                    if names[v] not in done:
+                        done.add(names[v])
+                        new.append(row)
+                at = pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS)
+                columns = [pa.array([names[full[r]] for r in new], pa.binary()), pa.array(sizes[new], pa.int64()), pa.ListArray.from_arrays(at, pa.array(band[new].view(np.int64).ravel())), pa.array([sketch[r].tobytes() for r in new], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
         released()
 
     return run
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: the first pairs (node, other) of a task's buckets and (band, node, sketch) of those that have more.
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables that hold whole groups of rows with equal keys, from rows in the order of the keys.
 
-    The rows of a bucket are all in this task.
-    """
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    table = pa.Table.from_batches(tables)
-    band = table["band"].to_numpy()
-    order = np.argsort(band, kind="stable")
-    same = band[order][1:] == band[order][:-1]
-    multi = np.zeros(len(band), bool)
-    multi[order[1:][same]] = True
-    multi[order[:-1][same]] = True
-    table = table.filter(pa.array(multi))
-    if not len(table):
-        return
-    node = np.array(table["node"].to_pylist(), object)
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
-    number: dict[bytes, int] = {}
-    root = np.array([number.setdefault(r or x, len(number)) for r, x in zip(table["other"].to_pylist(), node.tolist(), strict=True)])
-    pairs, crowded = bucket_pairs(table["band"].to_numpy(), node, sketch, root)
-    if pairs:
-        yield _rows([pa.nulls(len(pairs)), [p[0] for p in pairs], pa.nulls(len(pairs)), pa.nulls(len(pairs)), [p[1] for p in pairs]])
-    for first in range(0, len(crowded), 1 << 16):
-        at = crowded[first : first + (1 << 16)]
-        more = table.take(pa.array(at))
-        yield _rows([pa.nulls(len(at)), node[at].tolist(), more["band"].combine_chunks(), more["sketch"].to_pylist(), pa.nulls(len(at))])
-
-
-def _rest(most: int):
-    """(node, other, more): for each leading row of a cell the ``most`` rows of other components whose sketches agree best.
-
-    ``more`` says that the node has others that agree enough. All rows of a bucket are in each of its cells.
+    What is held at a time is a batch and the largest group.
     """
-    schema = pa.schema([("node", pa.binary()), ("other", pa.binary()), ("more", pa.bool_())])
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+        same = np.ones(batch.num_rows, bool)
+        for k, x in zip(keys, last, strict=True):
+            same &= batch.column(k).to_numpy(zero_copy_only=False) == x
+        begins = batch.num_rows - int(same.sum())
+        if begins == 0 and held and tuple(held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in keys) == last:
+            held.append(batch)
+            continue
+        if held or begins:
+            yield pa.Table.from_batches([*held, *([batch.slice(0, begins)] if begins else [])])
+        held = [batch.slice(begins)]
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        table = pa.Table.from_batches(tables).sort_by([("band", "ascending"), ("cell", "ascending"), ("root", "ascending"), ("node", "ascending")])
-        band, cell, lead = table["band"].to_numpy(), table["cell"].to_numpy(), table["lead"].to_numpy()
-        node = table["node"].to_pylist()
-        roots = table["root"].to_pylist()
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(table), -1)
-        fresh = np.flatnonzero((band[1:] != band[:-1]) | (cell[1:] != cell[:-1])) + 1
-        other_root = np.array([True] + [x != y for x, y in zip(roots[1:], roots[:-1], strict=True)])
-        other_root[fresh] = True
-        starts = np.append(np.flatnonzero(other_root), len(node))
-        out: list[tuple[bytes, bytes, bool]] = []
-        for first, last in zip([0, *fresh.tolist()], [*fresh.tolist(), len(node)], strict=True):
-            for k in (np.flatnonzero(lead[first:last]) + first).tolist():
-                group = int(np.searchsorted(starts, k, "right"))
-                a, b = int(starts[group - 1]), int(starts[group])  # rows of its own component
-                est = np.concatenate([_estimates(sketch[first:a], sketch[k]), _estimates(sketch[b:last], sketch[k])])
-                chosen = np.flatnonzero(est >= ESTIMATE)
-                more = len(chosen) > most
-                if more:
-                    chosen = chosen[np.argsort(-est[chosen], kind="stable")[:most]]
-                chosen = np.where(chosen < a - first, chosen + first, chosen - (a - first) + b)
-                out += [(min(node[j], node[k]), max(node[j], node[k]), more) for j in chosen.tolist()]
-                if len(out) >= 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return run
+def _cuts(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal keys begin, and the end."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.append(np.flatnonzero(fresh), len(fresh))
 
 
-def rest(crowded: DataFrame, roots: DataFrame, most: int) -> DataFrame | None:
-    """Pairs of large buckets that no chain of links joins yet (see ``_rest``); none if each bucket is one component.
+def bucket_pairs(node: list[bytes], sketch: np.ndarray, lead: tuple[bytes, np.ndarray] | None = None) -> list[tuple[bytes, bytes]]:
+    """The pairs to verify first among texts that share a band, in the order of their names.
 
-    The leading rows of a bucket are dealt to cells, as many as its estimates need, so a bucket isn't one task.
+    A small bucket: all whose sketches agree enough. In a large one, of which this may be a part, texts are paired
+    with the first few leaders that they agree with, the first of the whole bucket, ``lead``, among them; so most of a group
+    of near copies is joined at a cost that follows the texts. Leaders follow the names, so that the pairs of one
+    group are mostly the same in each band.
     """
-    rows = crowded.select("band", "node", "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = cut(rows)
-    sizes = rows.groupBy("band", "root").agg(F.count("*").cast("double").alias("c")).groupBy("band").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("work"))
-    sizes = cut(sizes.where("work > 0").select("band", F.ceil(F.col("work") / CELL).cast("int").alias("cells")))
-    if sizes.isEmpty():
-        return None
-    spread = rows.join(sizes, "band").select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    spread = spread.select("band", "cell", "node", "sketch", "root", (F.pmod(F.xxhash64("node"), F.col("cells")) == F.col("cell")).alias("lead"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(spread.repartition(n, "band", "cell").mapInArrow(_rest(most), "node binary, other binary, more boolean"))
+    if lead is not None and lead[0] not in node:
+        node, sketch = [lead[0], *node], np.vstack([lead[1][None], sketch])
+    n = len(node)
+    out: list[tuple[bytes, bytes]] = []
+    large = n > PAIRWISE or lead is not None
+    free, paired = np.ones(n, bool), np.zeros(n, int)
+    for k in range(n - 1 if not large else n):
+        if not free[k]:
+            continue
+        agree = _agreement(sketch, sketch[k])
+        if large:
+            agree[k] = 0
+            chosen = np.flatnonzero((agree >= ESTIMATE) & (paired < PAIRS))
+            paired[chosen] += 1
+            free &= agree < LIKELY
+        else:
+            chosen = np.flatnonzero(agree[k + 1 :] >= ESTIMATE) + k + 1
+        out += [(min(node[j], node[k]), max(node[j], node[k])) for j in chosen.tolist()]
+    return out
+
+
+_PAIR = pa.schema([("node", pa.binary()), ("other", pa.binary())])
+
+
+def _pairs_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], schema=_PAIR)
+
+
+def _sketches(table: pa.Table, name: str = "sketch") -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), np.uint8).reshape(len(table), -1)
+
+
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, other): the first pairs of each group (band, part)."""
+    for table in whole_groups(batches, ["band", "part"]):
+        node, sketch, n = table["node"].to_pylist(), _sketches(table), table["n"].to_numpy()
+        cuts = _cuts(table["band"].to_numpy(), table["part"].to_numpy())
+        sizes = np.diff(cuts)
+        two = cuts[:-1][(sizes == 2) & (n[cuts[:-1]] == 2)]
+        two = two[(sketch[two] == sketch[two + 1]).mean(axis=1) >= ESTIMATE] if len(two) else two
+        pairs = [(min(node[k], node[k + 1]), max(node[k], node[k + 1])) for k in two.tolist()]
+        for a, b in zip(cuts[:-1][sizes * (n[cuts[:-1]] > 2) > 0].tolist(), cuts[1:][sizes * (n[cuts[:-1]] > 2) > 0].tolist(), strict=True):
+            lead = table["lead"][a].as_py()
+            pairs += bucket_pairs(node[a:b], sketch[a:b], (lead["node"], np.frombuffer(lead["sketch"], np.uint8)) if lead else None)
+        pairs = list(set(pairs))
+        for k in range(0, len(pairs), 1 << 15):
+            yield _pairs_batch(pairs[k : k + (1 << 15)])
+    released()
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell (band, a, b) the rows that have a partner: sketches agree enough, components differ, and no
+    earlier band is shared, as the pair is compared there."""
+    for table in whole_groups(batches, ["band", "a", "b"]):
+        cuts = _cuts(*(table[k].to_numpy() for k in ("band", "a", "b")))
+        sketch, lead, place = _sketches(table), table["leads"].to_numpy(), table["place"].to_numpy()
+        roots = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+        bands = table["bands"].combine_chunks()
+        bands = (bands if isinstance(bands, pa.Array) else pa.concat_arrays(bands.chunks)).flatten().to_numpy().reshape(len(table), BANDS)
+        keep = np.zeros(len(table), bool)
+        for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            ours, theirs = np.flatnonzero(lead[first:last]) + first, np.flatnonzero(~lead[first:last]) + first
+            own, of, before = sketch[theirs], roots[theirs], bands[theirs, : place[first]]
+            for k in ours.tolist():
+                fit = np.flatnonzero((of != roots[k]) & (_agreement(own, sketch[k]) >= ESTIMATE))
+                fit = fit[~(before[fit] == bands[k, : place[first]]).any(axis=1)]
+                if len(fit):
+                    keep[k] = True
+                    keep[theirs[fit]] = True
+        if keep.any():
+            for batch in table.select(["band", "a", "b", "node", "root", "leads"]).filter(pa.array(keep)).to_batches():
+                yield batch
+    released()
 
 
 def _vectors(words: int):
-    """(node, vector) of each distinct text of a batch: shingles in ascending order, then how often each occurs.
+    """(node, vector) of each text: shingles in ascending order, then how often each occurs.
 
     Counts take a byte each, or four where one of the text exceeds 255, and are left out where all are one.
     """
@@ -411,85 +376,206 @@ def _vectors(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
+            data, offsets = utf8(batch.column("text"))
+            nodes = batch.column("node")
             for first, last in slices(offsets):
                 part = offsets[first : last + 1]
-                piece = data[part[0] : part[-1]]
-                shingles, counts, bounds = bags(piece, part - part[0], words)
-                raw, cuts = piece.tobytes(), (part - part[0]).tolist()
-                low = (shingles & U64(0xFFFFFFFF)).astype("<u4")
-                out: dict[bytes, bytes] = {}
-                for v, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                    if b > a:
-                        name = hashlib.md5(raw[cuts[v] : cuts[v + 1]], usedforsecurity=False).digest()
-                        most = counts[a:b].max()
-                        tail = counts[a:b].astype(np.uint8 if most < 256 else "<u4").tobytes() if most > 1 else b""
-                        out[name] = (b - a).to_bytes(4, "little") + low[a:b].tobytes() + tail
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], schema=schema)
+                shingles, counts, bounds = bags(data[part[0] : part[-1]], part - part[0], words)
+                out = []
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    most = counts[a:b].max() if b > a else 1
+                    tail = counts[a:b].astype(np.uint8 if most < 256 else "<u4").tobytes() if most > 1 else b""
+                    out.append((b - a).to_bytes(4, "little") + shingles[a:b].astype("<u8").tobytes() + tail)
+                yield pa.RecordBatch.from_arrays([nodes.slice(first, last - first), pa.array(out, pa.binary())], schema=schema)
+        released()
 
     return run
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(raw[:4], "little")
-    low = np.frombuffer(raw, "<u4", n, 4)
-    width = (len(raw) - 4 - 4 * n) // max(n, 1)
-    counts = np.frombuffer(raw, np.uint8 if width == 1 else "<u4", n, 4 + 4 * n) if width else np.ones(n, np.uint8)
-    order = np.argsort(low, kind="stable")
-    return low[order], counts[order].astype(float)
+    width = (len(raw) - 4 - 8 * n) // max(n, 1)
+    counts = np.frombuffer(raw, np.uint8 if width == 1 else "<u4", n, 4 + 8 * n) if width else np.ones(n, np.uint8)
+    return np.frombuffer(raw, "<u8", n, 4), counts.astype(np.int64)
 
 
-def _verify(low_idf, similarity: float):
+def _verify(shared, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = None
+        idf = None
+        memo: dict[bytes, tuple] = {}
+        size = 0
+
+        def bag(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal size
+            if raw not in memo:
+                if size > BLOCK:
+                    memo.clear()
+                    size = 0
+                shingles, counts = _unpack(raw)
+                memo[raw] = shingles, counts * idf.of(shingles)
+                size += len(shingles)
+            return memo[raw]
+
         for batch in batches:
-            weigh = weigh or Idf(*low_idf.value)
-            kept, value = [], []
-            memo: dict[bytes, tuple] = {}
-
-            def bag(raw: bytes, memo=memo, weigh=weigh) -> tuple[np.ndarray, np.ndarray]:
-                if raw not in memo:
-                    if len(memo) > 2000:
-                        memo.clear()
-                    low, counts = _unpack(raw)
-                    memo[raw] = low, counts * weigh.of(low)
-                return memo[raw]
-
-            for k, (a, b) in enumerate(zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)):
-                j = weighted_jaccard(*bag(a), *bag(b))
-                if j >= similarity - 1e-12:
-                    kept.append(k)
-                    value.append(j)
+            idf = idf or Idf(*shared.value)
+            kept = [k for k, (a, b) in enumerate(zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)) if weighted_jaccard(*bag(a), *bag(b)) >= similarity - 1e-12]
             if kept:
-                part = batch.select(["node", "other"]).take(pa.array(kept))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], ["node", "other", "similarity"])
+                yield pa.RecordBatch.from_arrays(batch.select(["node", "other"]).take(pa.array(kept)).columns, schema=_PAIR)
+        memo.clear()
+        released()
 
     return run
 
 
+def block_links(vectors: list[bytes], roots: np.ndarray, lead: np.ndarray, idf: Idf, similarity: float) -> list[tuple[int, int]]:
+    """Links, as few as join the components, between leading rows and the others of other components.
+
+    What two bags share is a matrix product over columns, a shingle that occurs c times being c columns; pairs near the
+    threshold or above it are computed again in double precision.
+    """
+    parts = [_unpack(v) for v in vectors]
+    sizes = np.array([int(c.sum()) for _, c in parts])
+    row = np.repeat(np.arange(len(parts)), sizes)
+    shingles = np.concatenate([np.repeat(s, c) for s, c in parts])
+    weight = idf.of(shingles)
+    again = np.concatenate([np.arange(k) - np.repeat(np.cumsum(c) - c, c) for k, (_, c) in zip(sizes.tolist(), parts, strict=True)])
+    key = np.where(again > 0, mix64(shingles + again.astype(U64) * U64(0x9E3779B97F4A7C15)), shingles)
+    total = np.bincount(row, weight, len(parts))
+    order = np.argsort(key, kind="stable")
+    key, row, weight = key[order], row[order], weight[order].astype(np.float32)
+    cuts = _cuts(key)
+    ours, theirs = np.flatnonzero(lead), np.flatnonzero(~lead)
+    place = np.empty(len(parts), np.int64)
+    place[ours], place[theirs] = np.arange(len(ours)), np.arange(len(theirs))
+    leads = lead[row]
+    both = np.logical_or.reduceat(leads, cuts[:-1]) & np.logical_or.reduceat(~leads, cuts[:-1])
+    shared = np.zeros((len(ours), len(theirs)), np.float32)
+    chosen = np.flatnonzero(both)
+    for at in range(0, len(chosen), COLUMNS):
+        part = chosen[at : at + COLUMNS]
+        wide = cuts[part + 1] - cuts[part]
+        column = np.repeat(np.arange(len(part)), wide)
+        entry = np.repeat(cuts[part], wide) + np.arange(len(column)) - np.repeat(np.cumsum(wide) - wide, wide)
+        left, right = np.zeros((len(ours), len(part)), np.float32), np.zeros((len(theirs), len(part)), np.float32)
+        mine = leads[entry]
+        left[place[row[entry[mine]]], column[mine]] = weight[entry[mine]]
+        right[place[row[entry[~mine]]], column[~mine]] = 1
+        shared += left @ right.T
+    parent = {r: r for r in roots.tolist()}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def bag(k: int) -> tuple[np.ndarray, np.ndarray]:
+        s, c = parts[k]
+        return s, c * idf.of(s)
+
+    links: list[tuple[int, int]] = []
+    for i, a in enumerate(ours.tolist()):
+        similar = shared[i] / (total[a] + total[theirs] - shared[i])
+        near = theirs[similar >= similarity - 1e-3]
+        for b in near[np.argsort(-similar[similar >= similarity - 1e-3], kind="stable")].tolist():
+            if find(int(roots[a])) != find(int(roots[b])) and weighted_jaccard(*bag(a), *bag(b)) >= similarity - 1e-12:
+                parent[find(int(roots[a]))] = find(int(roots[b]))
+                links.append((a, b))
+    return links
+
+
+def _blocks(shared, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = None
+        for table in whole_groups(batches, ["band", "a", "b"]):
+            idf = idf or Idf(*shared.value)
+            cuts = _cuts(*(table[k].to_numpy() for k in ("band", "a", "b")))
+            for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = table.slice(first, last - first)
+                lead = own["leads"].to_numpy()
+                if lead.all() or not lead.any():
+                    continue
+                node = own["node"].to_pylist()
+                roots = np.unique(np.array(own["root"].to_pylist(), object), return_inverse=True)[1]
+                links = block_links(own["vector"].to_pylist(), roots, lead, idf, similarity)
+                if links:
+                    yield _pairs_batch([(min(node[a], node[b]), max(node[a], node[b])) for a, b in links])
+        released()
+
+    return run
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for a key, where one key may hold a large share of ``rows``.
+
+    ``counts`` (key, __rows) says how many rows a key has. Keys of over HOT rows are at most (rows / HOT), small enough
+    to share; their rows are dealt to SPREAD places by a hash of ``by``, and their row of ``table`` is sent to each.
+    """
+    hot = F.broadcast(counts.where(F.col("__rows") > HOT).select(F.col(key).alias("__hot")))
+    salt = F.pmod(F.xxhash64(*by), F.lit(SPREAD)).cast("int")
+    left = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), salt).otherwise(0)).drop("__hot")
+    places = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(places)).drop("__hot")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: each component is a star around its least node."""
+    ends = pairs.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionAll(pairs.select(F.col("v"), F.lit(0), F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return seen.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
+
+
 def components(edges: DataFrame, a: str = "node", b: str = "other") -> DataFrame:
     """(node, root) of each node of an edge; root is the least node of its component.
 
-    Alternating large-star and small-star steps, each a grouped minimum and a join, until nothing changes. Each
-    step's edges are written to the shared folder; their number never grows.
+    Alternating large-star and small-star steps, each a grouped minimum and a join, until all components are stars.
+    Each step's edges are written to the shared folder; their number never grows.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    pairs = cut(pairs)
-    while True:
+    pairs = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    while not _settled(pairs):
         # large star: neighbours above u point to the least of u and its neighbours
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__rows")).withColumn("m", F.least("u", "m")))
+        large = spread_join(both.where("v > u"), least.select("u", "m"), "u", ["v"], least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large)
         # small star: u and its neighbours below point to the least of them
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(below.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = cut(small)
-        before, after = ((df.count(), df.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]) for df in (pairs, small))
-        pairs = small
-        if before == after:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        pairs = cut(small)
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _name(text: Column) -> Column:
+    """A text's node: a 128-bit hash."""
+    return F.unhex(F.md5(text))
+
+
+def crowded_cells(rows: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """The rows of large buckets that are more than one component, dealt to cells (band, a, b).
+
+    What isn't in a bucket's largest component leads: it goes to one of the blocks a and meets, in each block b, all
+    rows of the bucket. Blocks hold about BLOCK shingles, so a bucket isn't one task, however large, and the work is
+    that of what is left apart times the bucket. None if every bucket is one component.
+    """
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = cut(rows.withColumn("cost", F.greatest("size", F.lit(128))))
+    of = rows.groupBy("band", "root").agg(F.sum("cost").alias("cost"))
+    of = of.groupBy("band").agg(F.max(F.struct("cost", "root")).alias("top"), F.sum("cost").alias("all"), F.count("*").alias("n_roots")).where("n_roots > 1")
+    of = of.select("band", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.cost")) / BLOCK).cast("int").alias("na"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"))
+    of = cut(of)
+    if of.isEmpty():
+        return None
+    own = rows.join(of, "band")
+    of_block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["band", "place", "a", "b", "node", "root", "bands", "sketch", "leads"]
+    leading = own.where("root <> top").withColumn("a", of_block("na")).withColumn("b", every("nb")).withColumn("leads", F.lit(True)).select(*keep)
+    others = own.withColumn("b", of_block("nb")).withColumn("a", every("na")).withColumn("leads", F.lit(False)).select(*keep)
+    return leading.unionByName(others)
+
+
+def _cell_rows(rows: DataFrame) -> DataFrame:
+    return rows.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -498,50 +584,56 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
     class_id is the least doc_id of the class: all texts joined by chains of links of at least ``similarity``. Equal
     texts are one node. A text of one to four words has one shingle, all its words; texts without words are alike only
     if equal; a null text is alone, its node null and its class its own doc_id. Null doc_ids don't name a class unless
-    all of it are null. Repeated rows share their class. No rows give no rows.
+    all of it are null. Repeated rows share their class. Very long texts are read whole, all their shingles count; other
+    columns play no part, whatever their names. No rows give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select("doc_id", "text")
     idf = fit_idf(docs, words=words)
-    shared = spark.sparkContext.broadcast((idf.shingles, idf.weights))
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_sign(shared, words, similarity), _SIGNED))
-    named = signed.where("band is null and other is null").select("doc_id", "node")
-    local = signed.where("band is null and other is not null").select("node", "other")
-    # tasks as many as shuffle partitions, so each gathers whole buckets
-    banded = signed.where("band is not null").select("band", "node", "sketch", "other")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    across = cut(banded.repartition(n, "band").mapInArrow(_bucketed, _SIGNED))
-    crowded = across.where("other is null")
-
-    low = idf.shingles & U64(0xFFFFFFFF)
-    order = np.argsort(low, kind="stable")
-    low_idf = spark.sparkContext.broadcast((low[order].astype(np.uint32), idf.weights[order]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
-        vectors = docs.where("text is not null").select("text").mapInArrow(_vectors(words), "node binary, vector binary")
-        vectors = vectors.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("vector").alias("vector"))
-        vectors = cut(vectors)
-        sided = pairs.join(vectors.withColumnRenamed("vector", "va").hint("merge"), "node")
-        sided = sided.join(vectors.select(F.col("node").alias("other"), F.col("vector").alias("vb")).hint("merge"), "other")
-        return cut(sided.mapInArrow(_verify(low_idf, similarity), "node binary, other binary, similarity double")).select("node", "other")
-
-    tried = cut(across.where("band is null").select("node", "other").distinct())
-    roots = components(local.union(verified(tried)))
-    most = MOST
-    while not crowded.isEmpty() and (left := rest(crowded, roots, most)) is not None and not left.isEmpty():
-        fresh = cut(left.select("node", "other").distinct().join(tried, ["node", "other"], "left_anti"))
-        tried = cut(tried.union(fresh))
-        links = verified(fresh)
-        if not links.isEmpty():
-            roots = components(roots.select("node", F.col("root").alias("other")).union(links))
-        if left.where("more").isEmpty():
-            break
-        most *= 8
-    per_node = named.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("node is not null")
-    per_node = per_node.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-    per_root = per_node.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"))
-    of_node = per_node.join(per_root, "root").select("node", F.col("first"), "class_id", "n_texts")
-    out = named.join(of_node, "node", "left")
+    shared = spark.sparkContext.broadcast((idf.shingles, idf.weights, idf.rare))
+    signed = docs.select("text").where("text is not null").mapInArrow(_sign(shared, words), "node binary, size long, bands array<long>, sketch binary")
+    signed = cut(signed.dropDuplicates(["node"]))
+    named = docs.select("doc_id", _name(F.col("text")).alias("node"))
+
+    banded = signed.select("node", "size", "bands", "sketch", F.posexplode("bands").alias("place", "band"))
+    n = F.count("*")
+    lead = F.min(F.struct("node", "sketch"))
+    sizes = banded.groupBy("band").agg(n.alias("n"), lead.alias("lead")).where("n > 1").withColumn("lead", F.when(F.col("n") > GROUP, F.col("lead")))
+    rows = banded.select("band", "place", "node", "sketch").join(sizes, "band")
+    rows = cut(rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP))))
+    first = rows.select("band", "part", "node", "sketch", "n", "lead").repartition("band", "part").sortWithinPartitions("band", "part", "node")
+    pairs = cut(first.mapInArrow(_first, "node binary, other binary").distinct())
+
+    def vectors(nodes: DataFrame) -> DataFrame:
+        texts = docs.where("text is not null").select(_name(F.col("text")).alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+        return texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(_vectors(words), "node binary, vector binary")
+
+    def counted(df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy(key).agg(F.count("*").alias("__rows"))
+
+    ends = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
+    found = cut(vectors(ends))
+    sided = spread_join(pairs, found.withColumnRenamed("vector", "va"), "node", ["other"], counted(pairs, "node"))
+    sided = spread_join(sided, found.select(F.col("node").alias("other"), F.col("vector").alias("vb")), "other", ["node"], counted(pairs, "other"))
+    links = cut(sided.mapInArrow(_verify(shared, similarity), "node binary, other binary"))
+    roots = components(links)
+
+    crowded = rows.where(F.col("n") > PAIRWISE).select("band", "place", "node", "sketch").join(signed.select("node", "size", "bands"), "node")
+    if (cells := crowded_cells(crowded, roots)) is not None:
+        wanted = cut(_cell_rows(cells).mapInArrow(_wanted, "band long, a int, b int, node binary, root binary, leads boolean"))
+        if not wanted.isEmpty():
+            found = cut(vectors(wanted.select("node").distinct()))
+            full = _cell_rows(spread_join(wanted, found, "node", ["band", "a", "b"], counted(wanted, "node")))
+            more = cut(full.mapInArrow(_blocks(shared, similarity), "node binary, other binary"))
+            if not more.isEmpty():
+                roots = components(roots.select("node", F.col("root").alias("other")).union(more))
+    shared.unpersist()
+    per_node = cut(named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("__rows")))
+    rooted = per_node.select("node", "first").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    per_root = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"), F.count("*").alias("__rows"))
+    of_node = spread_join(rooted, per_root.drop("__rows"), "root", ["node"], per_root).select("node", "class_id", "n_texts")
+    out = spread_join(named, of_node, "node", ["doc_id"], per_node, "left")
     return out.select("doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"))
 
 
@@ -552,7 +644,7 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """
     kept = classes(docs, **options).where(F.col("node").isNotNull()).groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("__doc"), F.col("k.node").alias("__node"))
-    named = docs.withColumn("__md5", F.unhex(F.md5("text")))
-    full = named.where("text is not null").join(kept, F.col("__md5") == F.col("__node")).where(F.col("doc_id").eqNullSafe(F.col("__doc")))
+    named = docs.withColumn("__md5", _name(F.col("text")))
+    full = named.where("text is not null").join(kept, (F.col("__md5") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     one = full.dropDuplicates(["__md5"]).drop("__doc", "__node")
     return one.unionByName(named.where("text is null")).drop("__md5")

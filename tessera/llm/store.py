@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder named in ``spark.checkpoint.dir`` or set on the context; it must be one that all executors share."""
     sc = spark.sparkContext
     if (named := sc.getConf().get("spark.checkpoint.dir", None)) and not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))  # one process on one machine
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Arrow batches of this session hold so many bytes at most, as a batch of 10,000 texts may be large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder: a lost executor takes nothing of it away."""
     checkpoint_dir(df.sparkSession)

@@ -6,6 +6,7 @@ prefix sums modulo 2**64 with a finishing mix; equal words hash equally in every
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +69,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def released() -> None:
-    """Give memory that Arrow holds for later back to the machine, as workers live on between tasks."""
+    """Give memory that Arrow and the C library hold for later back to the machine, as workers live on between tasks."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside the GNU C library
+    if trim:
+        trim(0)
 
 
 def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:

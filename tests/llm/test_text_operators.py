@@ -156,22 +156,24 @@ def _bag(text):
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
 
-def test_near_duplicate_classes(documents, corpus, none):
-    got = {}
-    for r in neardup.classes(documents).collect():
-        got.setdefault(r.doc_id, r.class_id)
-    # brute force with the same weights: document frequencies over all rows, by shingle
-    rows = [(d, t) for d, t, *_ in corpus if t is not None]
-    total = len(corpus)
-    df = Counter(s for _, t in rows for s in _bag(t))
-    least = max(2.0, neardup.FREQUENT * total)
-
-    def weight(s):
-        gain = np.log(total / df[s]) / np.log(1 / neardup.FREQUENT) if df[s] >= least else 1.0
-        return 1 + neardup.GAIN * min(max(gain, 0), 1)
-
+def _classes_by_force(rows, total):
+    """doc_id -> class by comparing all pairs; rows: (doc_id, text) without null texts."""
     texts = list(dict.fromkeys(t for _, t in rows))
-    bags = [{s: n * weight(s) for s, n in _bag(t).items()} for t in texts]
+    bags = [_bag(t) for t in texts]
+
+    def least(text):  # what names a text's family
+        found, _, _ = textarrays.bags(*textarrays.utf8(pa.array([text])))
+        return int(found[0])
+
+    df, families = Counter(s for _, t in rows for s in _bag(t)), defaultdict(set)
+    for t, bag in zip(texts, bags, strict=True):
+        for s in bag:
+            families[s].add(least(t))
+    top = np.log(max(1.0, min(1 / neardup.FREQUENT, total)))
+    often = max(2.0, neardup.FREQUENT * total)
+    weight = lambda s: 1 + (min(np.log(total / len(families[s])), top) if df[s] >= often / 2 else top)
+    weighted = [{s: n * weight(s) for s, n in b.items()} for b in bags]
+    sums = [sum(w.values()) for w in weighted]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -180,21 +182,32 @@ def test_near_duplicate_classes(documents, corpus, none):
         return x
 
     for a, b in itertools.combinations(range(len(texts)), 2):
-        if bags[a] and bags[b]:
-            low = sum(min(w, bags[b][s]) for s, w in bags[a].items() if s in bags[b])
-            if low / (sum(bags[a].values()) + sum(bags[b].values()) - low) >= neardup.SIMILARITY:
+        if bags[a] and bags[b] and find(a) != find(b):
+            low = sum(min(w, weighted[b][s]) for s, w in weighted[a].items() if s in weighted[b])
+            if low / (sums[a] + sums[b] - low) >= neardup.SIMILARITY:
                 parent[find(a)] = find(b)
     members = defaultdict(list)
     for d, t in rows:
         members[find(texts.index(t))].append(d)
-    for own in members.values():
-        first = min(x for x in own if x is not None)
-        assert {got[d] for d in own} == {first}
+    return {d: min(x for x in own if x is not None) for own in members.values() for d in own}
+
+
+def test_near_duplicate_classes(documents, corpus, none, monkeypatch):
+    got = {r.doc_id: r.class_id for r in neardup.classes(documents).collect()}
+    rows = [(d, t) for d, t, *_ in corpus if t is not None]
+    want = _classes_by_force(rows, len(corpus))
+    assert {d: got[d] for d in want} == want
     assert got[300] == 300 and got[305] == 305
     assert neardup.classes(none).count() == 0
     kept = neardup.drop_copies(documents)
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert sorted(ids) == sorted([min(x for x in own if x is not None) for own in members.values()] + [300, 305]) and kept.columns == documents.columns
+    ids = [-1 if r.doc_id is None else r.doc_id for r in kept.select("doc_id").collect()]
+    assert sorted(ids) == sorted([*set(want.values()), 300, 305]) and kept.columns == documents.columns
+    # parts, blocks and hot keys of any size and files cut in any way give the same classes
+    monkeypatch.setattr(neardup, "GROUP", 20)
+    monkeypatch.setattr(neardup, "BLOCK", 2000)
+    monkeypatch.setattr(neardup, "HOT", 3)
+    again = neardup.classes(documents.withColumn("node", F.lit("clash")).repartition(9, "text")).collect()
+    assert {r.doc_id: r.class_id for r in again} == got
 
 
 def test_samples_agree_as_often_as_weights_overlap():
@@ -234,14 +247,52 @@ def _family(texts, seed=5):
     return rows
 
 
-def test_members_of_a_family_below_the_threshold_meet_their_partners(spark):
+def test_members_of_a_family_below_the_threshold_meet_their_partners(spark, monkeypatch):
     rows = _family(300)
     bags = [set(_bag(t)) for _, t in rows]
     alike = lambda a, b: len(bags[a] & bags[b]) / len(bags[a] | bags[b])
     assert min(alike(2 * k, 2 * k + 1) for k in range(150)) > 0.82 and max(alike(0, k) for k in range(2, 300)) < 0.79
-    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 300), "doc_id long, text string")  # each in a task of its own
-    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
-    assert [k for k in range(150) if got[2 * k] != got[2 * k + 1]] == []
+    want = _classes_by_force(rows, 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "GROUP", 50)
+    monkeypatch.setattr(neardup, "BLOCK", 20_000)
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs.repartition(6)).collect()} == want
+
+
+def test_block_links_are_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(1, 1 << 62, 60).astype(np.uint64))
+    vectors, bags = [], []
+    for _ in range(80):
+        own = np.unique(np.concatenate([base[rng.random(60) < 0.93], rng.integers(1, 1 << 62, 3).astype(np.uint64)]))
+        counts = rng.choice([1, 1, 1, 2, 300], len(own), p=[0.3, 0.3, 0.3, 0.09, 0.01])
+        vectors.append(len(own).to_bytes(4, "little") + own.tobytes() + counts.astype("<u4" if counts.max() > 255 else np.uint8).tobytes())
+        bags.append((own, counts))
+    idf = neardup.Idf(base[:20], np.linspace(1, 5, 20))
+    lead, roots = np.arange(80) < 30, np.arange(80)
+    links = neardup.block_links(vectors, roots, lead, idf, 0.6)
+    weighted = [(s, c * idf.of(s)) for s, c in bags]
+    near = {(a, b) for a in range(30) for b in range(30, 80) if neardup.weighted_jaccard(*weighted[a], *weighted[b]) >= 0.6}
+    group = lambda edges: {frozenset(x) for x in _joined(80, edges)}
+    assert near and set(links) <= near and group(links) == group(near)
+
+
+def _joined(n, edges):
+    own = [{k} for k in range(n)]
+    for a, b in edges:
+        if own[a] is not own[b]:
+            own[a] |= own[b]
+            for x in own[b]:
+                own[x] = own[a]
+    return own
+
+
+def test_groups_are_whole_whatever_the_batches():
+    keys = np.sort(np.random.default_rng(0).integers(0, 9, 50))
+    for size in (1, 3, 7, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size])], ["k"]) for k in range(0, 50, size)]
+        seen = [t["k"].to_pylist() for t in neardup.whole_groups(iter(batches), ["k"])]
+        assert sum(seen, []) == keys.tolist() and all(not set(a) & set(b) for a, b in itertools.combinations(seen, 2))
 
 
 def test_every_member_of_a_component_meets_texts_of_other_tasks(spark):
@@ -264,16 +315,16 @@ def test_every_member_of_a_component_meets_texts_of_other_tasks(spark):
     assert all(alike(0, 1 + k) > 0.82 and alike(100 + k, 1 + k) > 0.82 and alike(100 + k, 0) < 0.72 for k in range(60))
     inside = spark.createDataFrame(rows[:61], "doc_id long, text string").coalesce(1)
     docs = inside.unionAll(spark.createDataFrame(spark.sparkContext.parallelize(rows[61:], 60), "doc_id long, text string"))
-    assert {r.class_id for r in neardup.classes(docs).collect()} == {0}
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs.coalesce(8)).collect()} == _classes_by_force(rows, len(rows))
 
 
 def test_vectors_hold_counts_of_every_size():
     def bag(repeats, others):
         text = " ".join(["a b c d e"] * repeats + [f"{others}{k}" for k in range(100)])
-        (batch,) = neardup._vectors(5)(iter([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])]))
-        low, counts = neardup._unpack(batch.column("vector")[0].as_py())
+        (batch,) = neardup._vectors(5)(iter([pa.RecordBatch.from_arrays([pa.array([b"n"]), pa.array([text])], ["node", "text"])]))
+        shingles, counts = neardup._unpack(batch.column("vector")[0].as_py())
         assert sorted(counts.tolist()) == sorted(_bag(text).values())
-        return low, counts
+        return shingles, counts
 
     assert 0.95 < neardup.weighted_jaccard(*bag(1000, "x"), *bag(1000, "y")) < 0.97
     assert neardup.weighted_jaccard(*bag(255, "x"), *bag(400, "x")) < 0.7
