@@ -253,8 +253,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    from tessera.llm.store import cut
+    from tessera.llm.store import cut, small_batches
 
+    small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1)), F.lit(""))
     read = pages.select("page_id", "url", "html", host.alias("host"))
     best = cut(winners(read))

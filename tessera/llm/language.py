@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.store import cut
+from tessera.llm.store import cut, small_batches
 from tessera.llm.textarrays import released, slices, utf8
 
 BUCKETS = 1 << 16
@@ -187,6 +187,7 @@ def identify(
     """
     declared = F.col("lang") if declared is None else declared
     host = F.col("source") if host is None else host
+    small_batches(docs.sparkSession)
     docs = docs.drop(*RESULT)
     model = fit(docs, text) if model is None else model
     if model.empty:

@@ -13,22 +13,27 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tessera.llm.store import small_batches
 from tessera.llm.textarrays import released
 
 TIERS = (2048, 1024, 512, 256, 128, 64)
 END = 1
 STEP_TOKENS = 16 * 2048
-ROUND_TOKENS = 4 << 20  # tokens that are packed together
-WORDS_KEPT = 300_000
+ROUND_TOKENS = 2 << 20  # tokens that are packed together
+SLICE = 1 << 20  # bytes of text that are cut into words together
+KEPT_BYTES = 12 << 20  # what the words that a task knows may take, about
+KEPT_BETWEEN = 3 << 20  # and those that a worker keeps for its next task
+WORD_BYTES = 160  # of a word beside its characters: its entry, its numbers
 MARK = "~"
 MARKS = ".,;:!?*#$%&|"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, capacity long, step_group long"
 
 
 class Encoder:
-    """Ids of whole texts, word by word: each distinct word is tokenized once and then looked up.
+    """Ids of whole texts. Where the tokenizer allows it, each distinct word is tokenized once and then looked up.
 
-    For tokenizers that cut at spaces and line feeds and drop them, so that no token depends on more than one word.
+    It does if it cuts at spaces and line feeds and drops them, and cuts marks at a word's end apart, so that no token
+    depends on more than one word; that is probed when the file is read. Otherwise texts are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,24 +44,37 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None  # what stands between words that are tokenized in one go
+        self.by_words = self._cuts_at_spaces()
         self._clear()
 
+    def _cuts_at_spaces(self) -> bool:
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        words = ["Alpha", "beta", "it's", "1234", "Größe", "日本語", "x1", "naïve"]
+        spaced = [" ".join(words), "  ".join(words), "\n".join(words), f" {words[0]}\n\n{' '.join(words[1:])} "]
+        joined = [i for w in words for i in ids(w)]
+        parted = all(ids(w + m) == ids(w) + ids(m) for w in words for m in [*MARKS, MARKS[:3], "!!", "?!.", "$%"])
+        return all(ids(t) == joined for t in spaced) and parted and not ids(" ") and not ids("\n")
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, np.uint32)
         self.first, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.uses = np.zeros(1, np.int64)
+        self.held = 0
 
-    def trim(self) -> None:
-        """Forget words that were met only once or twice, so that a worker keeps little between tasks."""
-        kept = np.flatnonzero(self.uses > 2)
-        kept = kept[kept > 0]
-        ids, at = self._gather(kept)
+    def trim(self, most: int) -> None:
+        """Forget all but the words used most, up to so many bytes."""
         names = list(self.known)
+        order = np.argsort(-self.uses[1:], kind="stable") + 1
+        cost = np.array([len(w) for w in names], np.int64) + WORD_BYTES + 4 * self.length
+        kept = order[np.cumsum(cost[order]) <= most]
+        ids, at = self._gather(kept)
         words, uses = [names[k] for k in kept.tolist()], self.uses[kept]
         self._clear()
         self._keep(words, np.diff(at), ids)
-        self.uses[1:] = uses
+        self.uses[1:] = uses // 2
 
     def _keep(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.known)
@@ -65,6 +83,7 @@ class Encoder:
         self.length = np.concatenate([self.length, lengths])
         self.ids = np.concatenate([self.ids, ids])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        self.held += sum(map(len, words)) + WORD_BYTES * len(words) + 4 * len(ids)
 
     def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known words one after another, and where each word's begin."""
@@ -107,6 +126,8 @@ class Encoder:
 
     def texts(self, column: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each with ``end``, and n + 1 bounds."""
+        if not self.by_words:
+            return self._whole(column, end)
         words: list[str] = []
         counts = np.zeros(len(column) + 1, np.int64)
         for k, text in enumerate(column.to_pylist()):
@@ -114,10 +135,9 @@ class Encoder:
                 own = text.replace("\n", " ").split(" ")
                 words += own
                 counts[k + 1] = len(own)
+        if self.held > KEPT_BYTES:
+            self.trim(KEPT_BYTES // 2)
         new = set(words) - self.known.keys()
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.trim()
-            new = set(words) - self.known.keys()
         if new:
             self._learn(list(new))
         which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -130,6 +150,10 @@ class Encoder:
         out[keep] = ids
         return out, bounds
 
+    def _whole(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        found = [[*self.tokenizer.encode(t or "", add_special_tokens=False).ids, end] for t in column.to_pylist()]
+        return np.array([i for ids in found for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+
 
 @functools.lru_cache(1)
 def _encoder(path: str) -> Encoder:
@@ -238,7 +262,7 @@ class Packer:
         self.windows = []
 
 
-def _slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     first = 0
@@ -256,9 +280,11 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step_t
     pack by themselves: nothing is shuffled, no document is gathered with another, and what is held at a time is
     bounded by ``ROUND_TOKENS`` and the longest document. ``tokenizer`` is a file that every executor can read.
 
-    A null text is an empty one: its only id is the end mark. Repeated rows are packed as often as they occur,
-    doc_id may be null, columns other than doc_id and text play no part, and no rows give no pieces.
+    A null text is an empty one: its only id is the end mark. Very long texts are cut into whole windows and a rest;
+    pieces of equal length are taken the last come first. Repeated rows are packed as often as they occur, doc_id
+    may be null, columns other than doc_id and text play no part, whatever their names, and no rows give no pieces.
     """
+    small_batches(docs.sparkSession)
     fields = [x.split() for x in SCHEMA.split(", ")]
     schema = pa.schema([(name, pa.binary() if kind == "binary" else pa.int64()) for name, kind in fields])
 
@@ -292,7 +318,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step_t
         if waiting:
             yield table(waiting)
         if encoder:
-            encoder.trim()
+            encoder.trim(KEPT_BETWEEN)
         released()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.textarrays import POWERS, U64, mix64, utf8
+from tessera.llm.store import small_batches
+from tessera.llm.textarrays import POWERS, U64, mix64, released, utf8
 
 LENGTH = 100
 GRAM = 28
@@ -90,6 +91,26 @@ def _doc_keys(table: pa.Table) -> np.ndarray:
     return np.array([top if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
 
 
+def _alone(work):
+    """``work`` on a group, giving back the memory that it took."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        out = work(key, table)
+        released()
+        return out
+
+    return run
+
+
+def _paired(work):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(key, left, right)
+        released()
+        return out
+
+    return run
+
+
 def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(buckets, kind="stable")
     cuts = np.flatnonzero(np.diff(buckets[order])) + 1
@@ -374,19 +395,20 @@ def dedup(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataF
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     docs = docs.drop(*RESULT)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, math.ceil(total / CHUNK_BYTES))
     n_grams, n_suffixes = max(1, math.ceil(total / GRAM_BUCKET_BYTES)), max(1, math.ceil(total / SUFFIX_BUCKET_BYTES))
     docs = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
     by_chunk = docs.groupBy("__chunk")
-    grams = by_chunk.applyInArrow(_grams_of(length, n_grams), "bucket long, chunk long, grams binary, twice binary")
-    again = grams.groupBy("bucket").applyInArrow(_repeated_grams, "chunk long, grams binary")
-    contexts = docs.groupBy("__chunk").cogroup(again.groupBy("chunk")).applyInArrow(_contexts_of(length, n_suffixes), "bucket long, chunk long, heads binary, texts binary")
-    runs = contexts.groupBy("bucket").applyInArrow(_sorted_bucket(length), "chunk long, runs binary")
+    grams = by_chunk.applyInArrow(_alone(_grams_of(length, n_grams)), "bucket long, chunk long, grams binary, twice binary")
+    again = grams.groupBy("bucket").applyInArrow(_alone(_repeated_grams), "chunk long, grams binary")
+    contexts = docs.groupBy("__chunk").cogroup(again.groupBy("chunk")).applyInArrow(_paired(_contexts_of(length, n_suffixes)), "bucket long, chunk long, heads binary, texts binary")
+    runs = contexts.groupBy("bucket").applyInArrow(_alone(_sorted_bucket(length)), "chunk long, runs binary")
     new = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
     out = T.StructType([*docs.drop("__chunk").schema.fields, *new.fields])
-    return docs.groupBy("__chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_removed(to_arrow_schema(out), length, as_text), out)
+    return docs.groupBy("__chunk").cogroup(runs.groupBy("chunk")).applyInArrow(_paired(_removed(to_arrow_schema(out), length, as_text)), out)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
