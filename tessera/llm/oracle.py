@@ -57,11 +57,40 @@ p as (select doc_id, source, (('0x' || md5(coalesce(doc_id::varchar, ''))[1:15])
 select doc_id, source, p.slot, shard, format('shard-{{:03d}}', shard) as shard_name from p join t on p.slot = t.slot"""
 
 
+#: Calls, answers, links, problems and JSON by their definition, from the plain turns.
 _CHAT = """
-select conv_id, turn, role, 'message' as kind, turn as order_turn, 0 as order_depth, 0 as n_calls, 0 as n_valid_calls, 0::bigint as n_unanswered,
-  false as linked, case when text is null and role is null then '{}' when text is null then '{"role":' || to_json(role) || '}'
-  when role is null then '{"content":' || to_json(text) || '}' else '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' end as message_json
-from conversations"""
+with c as (
+  select *, length(text) as n, case turn % 3 when 0 then 'search' when 1 then 'calculator' else 'lookup' end as tool,
+    case role when 'user' then 'call' when 'assistant' then 'result' else 'message' end as kind,
+    'c' || case role when 'user' then turn % 4 when 'assistant' then (turn + 3) % 4 end as id
+  from conversations),
+spans as (
+  select conv_id, id, turn, lag(turn) over w as earlier, lead(turn) over w as later
+  from (select distinct conv_id, id, turn from c where kind = 'call' and conv_id is not null) window w as (partition by conv_id, id order by turn)),
+met as (
+  select c.conv_id, c.id, c.turn, s.turn as owner from c join spans s on c.kind = 'result' and c.conv_id = s.conv_id and c.id = s.id
+    and (s.earlier is null or c.turn > s.turn) and (s.later is null or c.turn <= s.later)),
+firsts as (select conv_id, id, owner, min(turn) as first from met group by all),
+j as (
+  select c.*, met.owner, firsts.first, answered.owner is not null as got,
+    case when n is null then [] when tool = 'search' and n % 2 = 1 then ['limit is not of type integer'] when tool = 'calculator' and n % 5 = 0 then ['unexpected precise']
+      when tool = 'lookup' then ['unknown tool'] else [] end
+      || case when text is null and tool = 'lookup' then ['unknown tool'] when text is null then ['missing ' || case tool when 'search' then 'query' else 'expression' end] else [] end as problems,
+    case when text is null then '{}' when tool = 'calculator' then '{"expression":' || to_json(text) || case when n % 5 = 0 then ',"precise":true}' else '}' end
+      when tool = 'search' and n % 2 = 1 then '{"limit":"all","query":' || to_json(text) || '}' when n % 2 = 1 then '{"query":' || to_json(text) || '}'
+      else '{"limit":' || n || ',"query":' || to_json(text) || '}' end as arguments
+  from c left join (select distinct * from met) met on c.kind = 'result' and c.conv_id = met.conv_id and c.turn = met.turn and c.id = met.id
+    left join firsts on met.conv_id = firsts.conv_id and met.id = firsts.id and met.owner = firsts.owner
+    left join firsts answered on c.kind = 'call' and c.conv_id = answered.conv_id and c.id = answered.id and c.turn = answered.owner)
+select conv_id, turn, role, kind, coalesce(owner, turn) as order_turn, (owner is not null)::int as order_depth, (kind = 'call')::int as n_calls,
+  (kind = 'call' and problems = [])::int as n_valid_calls, (kind = 'call' and conv_id is not null and not got)::bigint as n_unanswered, owner is not null as linked,
+  case when kind = 'call' then array_to_string(list_transform(problems, lambda p: id || ': ' || p), '; ') when kind = 'result' and owner is null then id || ': no such call'
+    when kind = 'result' and turn > first then id || ': answered before' else '' end as errors,
+  '{' || array_to_string(list_filter([
+    case when text is not null then '"content":' || to_json(text) end, case when role is not null then '"role":' || to_json(role) end,
+    case when kind = 'result' then '"tool_call_id":"' || id || '"' end,
+    case when kind = 'call' then '"tool_calls":[{"arguments":' || to_json(arguments::varchar) || ',"id":"' || id || '","name":"' || tool || '"}]' end], lambda x: x is not null), ',') || '}' as message_json
+from j"""
 
 
 def oracle_sql() -> dict[str, str]:

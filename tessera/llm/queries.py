@@ -17,9 +17,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import chat
 
-    return chat.link(_read(spark, sf_dir, "conversations")).select(
-        "conv_id", "turn", "role", "kind", "order_turn", "order_depth", "n_calls", "n_valid_calls", "n_unanswered", "linked", "message_json"
-    )
+    linked = chat.link(chat.as_tool_messages(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return linked.select(
+        "conv_id", "turn", "role", "kind", "order_turn", "order_depth", "n_calls", "n_valid_calls", "n_unanswered", "linked",
+        F.array_join("errors", "; ").alias("errors"), "message_json",
+    )
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

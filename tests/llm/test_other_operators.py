@@ -25,7 +25,7 @@ def test_chat_links_orders_and_validates(spark):
     assert (call.n_calls, call.n_valid_calls, call.n_unanswered) == (2, 1, 0)
     assert call.errors == ["c2: expression is not of type string", "c2: unexpected b"]
     parsed = json.loads(call.message_json)
-    assert list(parsed) == ["role", "tool_calls"] and parsed["tool_calls"][1]["arguments"] == '{"b":1,"expression":2}'
+    assert list(parsed) == ["role", "tool_calls"] and list(parsed["tool_calls"][0]) == ["arguments", "id", "name"] and parsed["tool_calls"][1]["arguments"] == '{"b":1,"expression":2}'
     lost = next(r for r in rows if r.conv_id == 2 and r.turn == 0)
     assert not lost.linked and lost.errors == ["c1: no such call"] and lost.order_turn == 0
     early = next(r for r in rows if r.conv_id == 3 and r.turn == 5)
@@ -37,6 +37,45 @@ def test_chat_links_orders_and_validates(spark):
     assert "Python" not in chat.link(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_chat_identifiers_used_again_and_kept_fields(spark):
+    call = lambda *ids: json.dumps({"tool_calls": [{"id": i, "name": "fetch", "arguments": {"url": "u"}, "more": [1.0, {"z": 1e0, "a": None}]} for i in ids], "meta": {"b": 1.50, "a": "1.0"}})
+    answer = lambda i, **more: json.dumps({"tool_call_id": i, "content": "x", **more})
+    rows = [
+        (1, 0, "assistant", call("a")), (1, 1, "tool", "  \n" + answer("a", name="n1")), (1, 2, "assistant", call("a")), (1, 3, "tool", answer("a")), (1, 4, "tool", answer("a")),
+        (1, 6, "assistant", call("a", "b")), (1, 7, "tool", answer("b")), (1, 7, "tool", answer("b")), (2, 0, "assistant", call("n")), (None, 1, "tool", answer("a")),
+        (3, 0, "user", "word " * 200_000), (3, 1, "assistant", json.dumps({"tool_calls": [{"id": "q", "name": "search", "arguments": '{"query": "x", "limit": 100000000000000000000000}'}]})),
+        (3, 2, "assistant", '{"tool_calls": [{"id": "t", "name": "search", "arguments": "{\\"query\\": 1, \\"query\\": \\"x\\"}"}]}'),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for c in ("waiting", "calls", "id", "owner", "at", "conv", "m", "v", "first", "json"):
+        df = df.withColumn(c, F.lit(1))
+    got = chat.link(df).collect()
+    assert len(got) == len(rows) and set(df.columns) < set(got[0].asDict())
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert [by[1, t].order_turn for t in (1, 3, 4)] == [0, 2, 2] and [by[1, t].errors for t in (1, 3, 4)] == [[], [], ["a: answered before"]]
+    assert (by[1, 0].n_unanswered, by[1, 2].n_unanswered, by[1, 6].n_unanswered, by[2, 0].n_unanswered) == (0, 0, 1, 1)
+    assert (by[1, 7].order_turn, by[1, 7].order_depth, by[1, 7].errors) == (6, 2, []) and not by[None, 1].linked
+    assert by[1, 2].message_json == '{"meta":{"a":"1.0","b":1.5},"role":"assistant","tool_calls":[{"arguments":"{\\"url\\":\\"u\\"}","id":"a","more":[1,{"a":null,"z":1}],"name":"fetch"}]}'
+    assert json.loads(by[1, 1].message_json) == {"tool_call_id": "a", "content": "x", "name": "n1", "role": "tool"}
+    assert by[3, 1].n_valid_calls == 1 and by[3, 2].errors == ["t: arguments are not an object"] and len(by[3, 0].message_json) > 10**6
+
+
+def test_chat_query_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+
+    rows = [(c, t, r, x) for c in range(4) for t, r, x in [(0, "system", "s"), (1, "user", "ab"), (2, "assistant", "é\n\"q\""), (5, "user", "abcde"), (3, "assistant", "early"), (6, "assistant", "late"), (8, "user", None), (9, "assistant", "no")]]
+    rows += [(1, 6, "assistant", "late"), (7, 3, "user", "odd"), (7, 4, "assistant", None), (8, 2, None, None), (9, 0, "user", "{}"), (9, 6, "user", "word " * 9)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    ours = queries.op1_chat_formatting(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    theirs = con.execute(oracle.oracle_sql()["op1_chat_formatting"]).df()[list(ours.columns)]
+    key = lambda df: sorted(map(str, df.itertuples(index=False)))
+    assert key(ours) == key(theirs) and ours["linked"].sum() > 8 and (ours["n_valid_calls"] < ours["n_calls"]).any()
+
+
 def test_table_filling_is_even_and_stable():
     shards = [f"s{k}" for k in range(7)]
     table = sharding.fill(shards, 1009)
