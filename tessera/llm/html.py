@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINNERS = 3  # paths of a host that are tried in turn
-LEAST_SHARE = 0.2  # of the best score on a page that a winning container must have there
 BROADCAST_HOSTS = 100_000
 
 #: The elements of the markup language by what they do here.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title iframe noembed noframes xmp".split())
-_DROPPED = set("nav header footer aside form noscript template button select svg canvas object audio video dialog menu head math".split())
+_DROPPED = set("nav header footer aside form noscript template button select svg canvas object audio video dialog menu head".split())
 _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre "
     "section summary table tbody tfoot thead tr ul".split()
@@ -36,10 +35,11 @@ _NOISE = set(
 _HOSTING = set("with has no without main content article body wrapper wrap layout page container post entry story text".split())
 _GOOD = set("article content entry main post story text body".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S
-)
-_ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+_NOT_A_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/><]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Without regard to quotes, for what follows a quote that is never closed.
+_LENIENT = re.compile(r"<(/?)([A-Za-z][^\s/><]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))|\b(hidden)\b")
 _PART = re.compile(r"[A-Za-z]+")
 
 
@@ -61,6 +61,7 @@ class Page:
     def __init__(self, html: str) -> None:
         self.parent: list[int] = [-1]
         self.path: list[str] = [""]
+        self.tags: list[str] = [""]
         self.good: list[bool] = [False]
         self.blocks: list[tuple[int, str, int, str]] = []  # element, text, characters in links, tag
         self._read(html)
@@ -69,15 +70,15 @@ class Page:
         stack: list[tuple[str, int, bool, bool]] = []  # tag, element, dropped, in an article
         text: list[str] = []
         links = size = anchors = 0
-        opened: dict[str, int] = {}  # how many of each element are open
+        opened: dict[str, list[int]] = {}  # where in the stack each element is open
+        blocks: list[int] = []  # and the block elements
 
         def flush() -> None:
             nonlocal links, size
             if text:
                 whole = " ".join("".join(text).split())
                 if whole:
-                    tag = next((t for t, _, _, _ in reversed(stack) if t in _BLOCK), "")
-                    self.blocks.append((stack[-1][1] if stack else 0, whole, links, tag))
+                    self.blocks.append((stack[-1][1] if stack else 0, whole, links, stack[blocks[-1]][0] if blocks else ""))
                 text.clear()
             links = size = 0
 
@@ -87,31 +88,47 @@ class Page:
                 if tag in _BLOCK:
                     flush()
                 anchors -= tag == "a"
-                opened[tag] -= 1
+                opened[tag].pop()
             del stack[depth:]
+            while blocks and blocks[-1] >= depth:
+                blocks.pop()
+
+        def innermost(tags: set[str]) -> int:
+            return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
 
-        at, end = 0, len(html)
+        lenient, after_last = False, html.rfind(">") + 1
+        at, end, seen = 0, len(html), 0
         while at < end:
-            m = _TOKEN.search(html, at)
-            stop = m.start() if m else end
+            stop = html.find("<", seen)
+            m = other = None
+            if 0 <= stop < after_last:
+                other = _NOT_A_TAG.match(html, stop)
+                m = None if other else (_LENIENT if lenient else _TAG).match(html, stop)
+                if not m and not other and not lenient and (m := _LENIENT.match(html, stop)):
+                    lenient = True
+            if stop >= 0 and not m and not other:
+                if html.startswith(("<!", "<?"), stop):
+                    other, after_last = _NOT_A_TAG.match(html, stop), stop
+                elif stop < after_last or html.find("<", stop + 1) >= 0:
+                    seen = stop + 1  # no tag: text
+                    continue
+            stop = stop if m or other else end
             if stop > at and not (stack and stack[-1][2]):
                 piece = html[at:stop]
                 text.append(unescape(piece) if "&" in piece else piece)
                 if anchors:
                     links += len(piece.strip())
-            if not m:
+            if not m and not other:
                 break
-            at = m.end()
-            tag = m.group(2) or m.group(5)
-            if not tag:
+            at = seen = (m or other).end()
+            if other:
                 continue
-            tag = tag.lower()
-            closing = m.group(1) if m.group(2) else m.group(4)
-            if closing:
+            tag = m.group(2).lower()
+            if m.group(1):
                 if not opened.get(tag):
                     continue
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-                if depth >= 0 and not (tag not in _BLOCK and any(t in _BLOCK for t, *_ in stack[depth:])):
+                depth = opened[tag][-1]
+                if tag in _BLOCK or not (blocks and blocks[-1] > depth):
                     pop_to(depth)
                 continue
             if tag in _VOID:
@@ -121,21 +138,14 @@ class Page:
                     text.append(" " if tag == "br" else "")
                 continue
             if tag in _RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else end
+                close = re.compile(rf"</{tag}\b", re.I).search(html, at)
+                at = seen = (html.find(">", close.end()) + 1 if close else 0) or end
                 continue
-            if tag in _BLOCK and opened.get("p"):
-                depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p")
-                if not any(t in _BLOCK for t, *_ in stack[depth + 1 :]):
-                    pop_to(depth)
-            if tag in _CLOSED_BY and any(opened.get(t) for t in _CLOSED_BY[tag]):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _BOUNDARY[tag]:
-                        break
-                    if stack[k][0] in _CLOSED_BY[tag]:
-                        pop_to(k)
-                        break
-            attributes = {(a or f).lower(): b or c or d or "" for a, b, c, d, f in _ATTRIBUTE.findall(m.group(3) or m.group(6) or "")}
+            if tag in _BLOCK and opened.get("p") and blocks[-1] == opened["p"][-1]:
+                pop_to(blocks[-1])
+            if tag in _CLOSED_BY and (closer := innermost(_CLOSED_BY[tag])) > innermost(_BOUNDARY[tag]):
+                pop_to(closer)
+            attributes = {(a or f).lower(): b or c or d or "" for a, b, c, d, f in _ATTRIBUTE.findall(m.group(3))}
             element, dropped, inside = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (0, False, False)
             if not dropped:
                 if tag in _DROPPED:
@@ -148,6 +158,7 @@ class Page:
                 flush()
                 classes = sorted(re.sub(r"\d+", "#", c) for c in attributes.get("class", "").lower().split())
                 self.parent.append(element)
+                self.tags.append(tag)
                 path = f"{self.path[element]}/{tag}" + "".join(f".{c}" for c in classes)
                 # a deep path is named by its hash, so that nesting costs no more than its depth
                 self.path.append(path if len(path) <= 512 else f"#{hashlib.blake2b(path.encode('utf-8', 'replace'), digest_size=16).hexdigest()}")
@@ -157,10 +168,12 @@ class Page:
             elif tag in ("td", "th"):
                 text.append(" ")
             anchors += tag == "a"
-            if not attributes.get("/", "") and (m.group(3) or m.group(6) or "").endswith("/") and tag not in _BLOCK:
+            if m.group(3).endswith("/") and tag not in _BLOCK:
                 anchors -= tag == "a"
                 continue  # closed at once
-            opened[tag] = opened.get(tag, 0) + 1
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in _BLOCK:
+                blocks.append(len(stack))
             stack.append((tag, element, dropped, inside or tag in ("article", "main")))
         pop_to(0)
         flush()
@@ -181,24 +194,36 @@ class Page:
         return out
 
     def text_of(self, containers: set[int]) -> str:
-        """The blocks within the containers, in page order; blocks that are nearly all link are left out."""
+        """The blocks within the containers, in page order."""
         within: list[bool] = []
         for element, parent in enumerate(self.parent):  # a parent comes before its children
             within.append(element in containers or (parent >= 0 and within[parent]))
-        return "\n\n".join(t for e, t, links, tag in self.blocks if within[e] and (tag != "li" or links < 0.8 * len(t)))
+        return "\n\n".join(t for e, t, _, _ in self.blocks if within[e])
+
+    def _with_relatives(self, own: set[int], scores: dict[int, float]) -> set[int]:
+        """Containers of one article together: the article or main element around them, or else those beside them that
+        are named like content."""
+        out: set[int] = set()
+        for e in own:
+            up = e
+            while up > 0 and self.tags[up] not in ("article", "main"):
+                up = self.parent[up]
+            out.add(up if up > 0 else e)
+        beside = {self.parent[e] for e in out if self.tags[e] not in ("article", "main")}
+        return out | {e for e in scores if self.parent[e] in beside and self.good[e]}
 
     def extract(self, paths: list[str]) -> tuple[str, str]:
-        """The text in the containers of the first of ``paths`` that counts on this page, or else in its best one."""
+        """The text in the containers of the first of ``paths`` that this page has, or else in its best one."""
         scores = self.scores()
         if not scores:
             return "", ""
         best = max(scores.values())
         for path in paths:
-            own = {e for e, s in scores.items() if self.path[e] == path and s >= LEAST_SHARE * best}
+            own = {e for e, s in scores.items() if self.path[e] == path}
             if own:
-                return self.text_of(own), path
+                return self.text_of(self._with_relatives(own, scores)), path
         top = min((e for e, s in scores.items() if s == best))
-        return self.text_of({top}), self.path[top]
+        return self.text_of(self._with_relatives({top}, scores)), self.path[top]
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +274,8 @@ def extract(pages: DataFrame) -> DataFrame:
     checked number of hosts and joined beyond it.
 
     Null or empty html gives the empty string; pages without a host are one host; repeated rows get equal texts;
-    other columns play no part. No rows give no rows.
+    of equally good containers the first counts; very long pages are read whole, in time linear in their length,
+    whatever their markup; other columns play no part. No rows give no rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

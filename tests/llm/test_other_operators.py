@@ -254,3 +254,28 @@ def test_language_sample_holds_every_label_and_counts_copies_once(spark):
     assert model.languages == ("en", "es")
     once = language.fit(spark.createDataFrame([*dict.fromkeys(rows)], "text string, lang string"), sample=40)
     assert (model.table == once.table).all()
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    n = 1 << 17
+    bodies = ["<a" * n, '<a "' * n, "<a \"'>" * n, "<a " + "b" * 5 * n + ">", "<b>" + "<div>" * n + "</b>" * n, "<ul>" + "<span>" * n + "<li>x" * n, "<script>" + "</script" * n, "<!" * n, "&" * 5 * n, "<p>" + "<i>" * n + "<hr>t" * n]
+    for body in bodies:
+        began = time.process_time()
+        html.Page(f"<body><p>first words</p>{body}").extract([])
+        assert time.process_time() - began < 12, body[:20]
+
+
+def test_siblings_and_lists_and_formulas_of_an_article_stay():
+    text = lambda body: html.Page(f"<body>{body}</body>").extract([])[0]
+    assert text(f"<div class=content><p>{'one ' * 50}</p></div><div class=content2><p>{'two ' * 75}</p></div>").startswith("one")
+    long, short = "long words " * 60, "short words " * 8
+    assert text(f"<article><h1>T</h1><div class=sec><p>{long}</p></div><div class=sec><p>{short}</p></div></article>") == f"T\n\n{long.strip()}\n\n{short.strip()}"
+    assert "See this" in text(f"<article><p>{long}</p><ul><li><a href=x>See this</a></ul><p>Sum <math><mi>x</mi></math></p></article>") and text(f"<article><p>{long} <math><mi>xy</mi></math></p></article>").endswith("xy")
+
+
+def test_pages_that_repeat_and_none(spark):
+    rows = [(1, "http://h/a", "<p>some words here</p>", "clash")] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert [r.text for r in html.extract(df).collect()] == ["some words here"] * 3 and html.extract(df.limit(0)).count() == 0
