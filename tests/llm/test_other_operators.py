@@ -173,6 +173,61 @@ def test_language_fuses_its_evidence(spark):
     assert [(r.a, r.d) for r in seen] == [("de", "fr"), ("es", None), (None, None)]
 
 
+def test_foreign_texts_are_rejected_and_clean_ones_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where("doc_id % 2 = 0"))
+    clean = [r.accepted for r in language.identify(docs.where("doc_id % 2 = 1 and n_chars > 200"), model).collect()]
+    assert np.mean(clean) > 0.98
+    foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю. " * 4, "いろはにほへとちりぬるをわかよたれそつねならむ。" * 5, "0x3f 99182 77-12 ### 4451 9981 " * 8, "Příliš žluťoučký kůň úpěl ďábelské ódy. " * 5, "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura. " * 4]
+    df = spark.createDataFrame([(k, t, "en", "src0") for k, t in enumerate(foreign)], "doc_id long, text string, lang string, source string")
+    assert not any(r.accepted for r in language.identify(df, model).collect())
+
+
+def test_posteriors_and_smoothed_priors_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    model = language.Model(("aa", "bb", "cc"), np.log(rng.dirichlet(np.ones(language.BUCKETS), 3).T + 1e-9).astype(np.float32), np.tile([-99.0, 1.0], (3, 1)))
+    words = ["abc", "bcd x", "zzzz", "q w e r", "hello there", "", None, "ab"]
+    rows = [(k, words[int(rng.integers(8))], ["aa", "bb", "xx", None][int(rng.integers(4))], [None, "http://a.one.de/x", "http://b.one.de/y", "http://c.two.org/fr/z"][int(rng.integers(4))], 1.0) for k in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, text string, markup string, url string, __prior double")
+    suffixes = {"de": "aa", "fr": "bb"}
+    host = language.host_of(F.col("url"))
+    address = F.when(F.col("url").contains("/fr/"), "bb").when(F.col("url").contains(".de/"), "aa")
+    got = {r.page_id: r for r in language.identify(df, model, declared=F.col("markup"), address=address, host=host).collect()}
+    assert len(got) == 80 and suffixes and got[0]["__prior"] == 1.0
+
+    def says(value, trust):
+        return np.log([trust if value == x else (1 - trust) / 2 for x in model.languages]) if value in model.languages else np.zeros(3)
+
+    def likelihood(text):
+        data = (text or "").encode()
+        codes = [((((data[i] << 16) | (data[i + 1] << 8) | data[i + 2]) * 0x9E3779B1) & 0xFFFFFFFF) >> 16 for i in range(len(data) - 2)]
+        return None if not codes else model.table[codes].astype(float).mean(axis=0) * min(len(codes), language.EFFECTIVE)
+
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    local, hosts, shares = {}, {}, defaultdict(list)
+    for k, text, markup, url, _ in rows:
+        name = "" if url is None else url.split("/")[2]
+        hosts[k] = (name, ".".join(name.split(".")[-2:]) if "." in name else "")
+        ll = likelihood(text)
+        spoken = None if url is None else "bb" if "/fr/" in url else "aa" if ".de/" in url else None
+        local[k] = (0 if ll is None else ll) + says(markup, language.DECLARED_TRUST) + says(spoken, language.ADDRESS_TRUST)
+        if ll is not None:
+            shares[hosts[k]].append(soft(local[k]))
+    sums = {h: (len(x), np.sum(x, axis=0)) for h, x in shares.items()}
+    n_all, sum_all = sum(n for n, _ in sums.values()), sum(x for _, x in sums.values())
+    root = (sum_all + 1) / (n_all + 3)
+    pull = language.HOST_STRENGTH
+    for k, text, *_ in rows:
+        own = [(n, x) for h, (n, x) in sums.items() if h[1] == hosts[k][1]]
+        parent = (sum(x for _, x in own) + pull * root) / (sum(n for n, _ in own) + pull)
+        n, x = sums[hosts[k]]
+        post = soft(local[k] + np.log((x + pull * parent) / (n + pull)))
+        if likelihood(text) is None:
+            assert got[k].language is None and got[k].posterior == 0 and not got[k].accepted
+        else:
+            assert got[k].posterior == pytest.approx(post.max(), abs=1e-6) and got[k].language == model.languages[int(post.argmax())]
+
+
 def _brute(rows, queries, k):
     out = {}
     for q in queries:
