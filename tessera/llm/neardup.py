@@ -597,12 +597,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
     named = docs.select("doc_id", _name(F.col("text")).alias("node"))
 
     banded = signed.select("node", "size", "bands", "sketch", F.posexplode("bands").alias("place", "band"))
-    n = F.count("*")
-    lead = F.min(F.struct("node", "sketch"))
-    sizes = banded.groupBy("band").agg(n.alias("n"), lead.alias("lead")).where("n > 1").withColumn("lead", F.when(F.col("n") > GROUP, F.col("lead")))
-    rows = banded.select("band", "place", "node", "sketch").join(sizes, "band")
-    rows = cut(rows.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP))))
-    first = rows.select("band", "part", "node", "sketch", "n", "lead").repartition("band", "part").sortWithinPartitions("band", "part", "node")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    rows = cut(banded.select("band", "place", "node", "sketch").join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP))))
+    parted = rows.where(F.col("n") > GROUP)
+    parted = parted.join(parted.groupBy("band").agg(F.min(F.struct("node", "sketch")).alias("lead")), "band")
+    whole = rows.where(F.col("n") <= GROUP).withColumn("lead", F.lit(None).cast(parted.schema["lead"].dataType))
+    first = whole.unionByName(parted).select("band", "part", "node", "sketch", "n", "lead").repartition("band", "part").sortWithinPartitions("band", "part", "node")
     pairs = cut(first.mapInArrow(_first, "node binary, other binary").distinct())
 
     def vectors(nodes: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ from tessera.llm.textarrays import POWERS, U64, mix64, released, utf8
 LENGTH = 100
 GRAM = 28
 COVER, PERIOD = (0, 1, 3, 9), 13  # every difference modulo 13 is one of two members
-CHUNK_BYTES = 4 << 20  # text that a task holds at a time
-GRAM_BUCKET_BYTES, SUFFIX_BUCKET_BYTES = 32 << 20, 3 << 20  # text of the corpus for each bucket
+CHUNK_BYTES = 3 << 20  # text that a task holds at a time
+GRAM_BUCKET_BYTES, SUFFIX_BUCKET_BYTES = 32 << 20, 2 << 20  # text of the corpus for each bucket
 SORTED_AT_ONCE = 1 << 18  # suffixes of one block
 SCAN = 1 << 18
 
