@@ -703,7 +703,10 @@ class Frame(_Common):
 
     def _reduction(self, how: str, axis, numeric_only: bool, **options):
         if axis in (1, "columns"):
-            return self._across(how, **options)
+            whole = options.pop("skipna", True)
+            out = self._across(how, **options)
+            complete = F.forall(F.array(*[F.col(c).cast("double") for c in self.numeric()]), lambda x: x.isNotNull())
+            return out if whole else Series(self, F.when(complete, out.col), None)
         names = self.numeric() if numeric_only else self._columns
         return self._reduce(how, names, **options)
 
@@ -738,10 +741,10 @@ class Frame(_Common):
         return Series(self, out, None)
 
     def sum(self, axis=0, skipna=True, numeric_only=False, min_count=0, **_):
-        return self._reduction("sum", axis, numeric_only, min_count=min_count)
+        return self._reduction("sum", axis, numeric_only, min_count=min_count, skipna=skipna)
 
     def prod(self, axis=0, skipna=True, numeric_only=False, min_count=0, **_):
-        return self._reduction("prod", axis, numeric_only, min_count=min_count)
+        return self._reduction("prod", axis, numeric_only, min_count=min_count, skipna=skipna)
 
     product = prod
 
@@ -883,24 +886,26 @@ class Frame(_Common):
         return Frame(made.coalesce(1).mapInPandas(last, meta))
 
     # -- ordered
-    def _running(self, kind: str) -> Frame:
+    def _running(self, kind: str, skipna: bool = True) -> Frame:
         f = self._positioned()
         names = f.numeric()
-        new = {c: _fresh() for c in names}
-        g = f._extend(lambda df: ordered.running(df, {new[c]: (kind, F.col(c)) for c in names}, f.order))
-        return g._each(lambda s: Series(g, F.when(F.col(s.name).isNotNull(), F.col(new[s.name])), s.name), names)[names]
+        new, seen = {c: _fresh() for c in names}, {c: _fresh() for c in names}
+        more = {} if skipna else {seen[c]: ("sum", F.col(c).isNull().cast("long")) for c in names}
+        g = f._extend(lambda df: ordered.running(df, {new[c]: (kind, F.col(c)) for c in names} | more, f.order))
+        there = lambda c: F.col(c).isNotNull() if skipna else F.col(seen[c]) == 0
+        return g._each(lambda s: Series(g, F.when(there(s.name), F.col(new[s.name])), s.name), names)[names]
 
     def cumsum(self, axis=0, skipna=True, **_):
-        return self._running("sum")
+        return self._running("sum", skipna)
 
     def cumprod(self, axis=0, skipna=True, **_):
-        return self._running("prod")
+        return self._running("prod", skipna)
 
     def cummin(self, axis=0, skipna=True, **_):
-        return self._running("min")
+        return self._running("min", skipna)
 
     def cummax(self, axis=0, skipna=True, **_):
-        return self._running("max")
+        return self._running("max", skipna)
 
     def shift(self, periods: int = 1, freq=None, axis=0) -> Frame:
         if freq is not None:
@@ -1194,9 +1199,9 @@ def concat(objs: Iterable, axis=0, join="outer", ignore_index=False, **_) -> Fra
 def _install() -> None:
     """Arithmetic, comparison and reduction methods that are one line for each."""
     for name in ("mean", "min", "max", "count", "any", "all"):
-        setattr(Frame, name, lambda self, axis=0, skipna=True, numeric_only=None, how=name, **_: self._reduction(how, axis, numeric_only if numeric_only is not None else how == "mean"))
+        setattr(Frame, name, lambda self, axis=0, skipna=True, numeric_only=None, how=name, **_: self._reduction(how, axis, numeric_only if numeric_only is not None else how == "mean", skipna=skipna))
     for name in ("var", "std", "sem"):
-        setattr(Frame, name, lambda self, axis=0, skipna=True, ddof=1, numeric_only=True, how=name, **_: self._reduction(how, axis, True, ddof=ddof))
+        setattr(Frame, name, lambda self, axis=0, skipna=True, ddof=1, numeric_only=True, how=name, **_: self._reduction(how, axis, True, ddof=ddof, skipna=skipna))
     ops = {
         "add": operator.add, "sub": operator.sub, "mul": operator.mul, "truediv": operator.truediv, "floordiv": operator.floordiv, "mod": operator.mod, "pow": operator.pow,
         "lt": operator.lt, "le": operator.le, "gt": operator.gt, "ge": operator.ge, "eq": operator.eq, "ne": operator.ne, "and": operator.and_, "or": operator.or_, "xor": operator.xor,

@@ -17,6 +17,7 @@ UNARY = {
     "deg2rad": F.radians, "radians": F.radians, "rad2deg": F.degrees, "degrees": F.degrees, "cbrt": F.cbrt, "isnan": lambda c: c.isNull() | F.isnan(c.cast("double")), "isfinite": lambda c: nulls.known((F.abs(c) < float("inf")) & ~F.isnan(c.cast("double"))),
     "isinf": lambda c: nulls.known(F.abs(c) == float("inf")), "logical_not": lambda c: c == 0, "signbit": lambda c: c < 0, "invert": F.bitwise_not,
 }
+PARTIAL = {"sqrt", "log", "log2", "log10", "log1p", "arcsin", "arccos", "arccosh", "arctanh"}
 BINARY = {
     "add": operator.add, "subtract": operator.sub, "multiply": operator.mul, "divide": nulls.divide, "true_divide": nulls.divide, "floor_divide": nulls.floordiv, "remainder": nulls.mod, "mod": nulls.mod, "power": F.pow, "float_power": F.pow,
     "maximum": F.greatest, "minimum": F.least, "fmax": F.greatest, "fmin": F.least, "arctan2": F.atan2, "hypot": F.hypot, "copysign": lambda a, b: F.when(b < 0, -F.abs(a)).otherwise(F.abs(a)), "fmod": lambda a, b: F.try_mod(a, b),
@@ -34,7 +35,9 @@ def apply(ufunc: np.ufunc, method: str, inputs: tuple, kwargs: dict):
     name = ufunc.__name__
     first = next(x for x in inputs if isinstance(x, Series))
     if name in UNARY:
-        return first._new(UNARY[name](first.col))
+        made = UNARY[name](first.col)
+        # what has no value is missing, not a number that aggregates would count
+        return first._new(F.nanvl(made, F.lit(None).cast("double")) if name in PARTIAL else made)
     if name in BINARY or name in TRUTH:
         f = BINARY.get(name) or TRUTH[name]
         a, b = inputs

@@ -42,14 +42,17 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(y == 0, at_zero).otherwise(F.try_divide(x, y))
 
 
-def floordiv(a: Column, b: Column) -> Column:
-    """Toward minus infinity; missing for a zero divisor."""
-    return F.when(b != 0, F.floor(F.try_divide(a, b)))
+def mod(a: Column, b: Column) -> Column:
+    """With the divisor's sign; missing for a zero divisor. Exact for whole numbers of any size."""
+    rest = F.try_mod(a, b)
+    return F.when(b != 0, F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest))
 
 
-def mod(a: Column, b: Column) -> Column:
-    """With the divisor's sign; missing for a zero divisor."""
-    return F.when(b != 0, a - b * F.floor(F.try_divide(a, b)))
+def floordiv(a: Column, b: Column) -> Column:
+    """Toward minus infinity; missing for a zero divisor. Exact for whole numbers, which a double may not hold."""
+    x, y = a.try_cast("long"), b.try_cast("long")
+    whole = F.call_function("div", x - mod(x, y), y)
+    return F.when(b != 0, F.when((x == a) & (y == b), whole).otherwise(F.floor(F.try_divide(a, b))))
 
 
 def known(predicate: Column) -> Column:
@@ -67,7 +70,10 @@ def variance(c: Column, ddof: int = 1) -> Column:
 
 
 def aggregate(how: str, c: Column, order: Column | None = None, **options) -> Column:
-    """The Column of an aggregate by its pandas name; ``order`` decides first and last."""
+    """The Column of an aggregate by its pandas name; ``order`` decides first and last. Without ``skipna`` one missing
+    value makes the result missing."""
+    if not options.pop("skipna", True):
+        return F.when(F.count(c) == F.count(F.lit(1)), aggregate(how, c, order, **options))
     q = options.get("q", 0.5)
     at_least = options.get("min_count", 0)
     n = F.count(c)

@@ -72,23 +72,23 @@ def running(df: DataFrame, how: dict[str, tuple[str, Column]], order: list[str],
 def haloed(df: DataFrame, order: list[str], before: int, after: int = 0) -> DataFrame:
     """``df`` in segments, with copies of up to ``before`` rows of what precedes a segment and ``after`` of what follows it.
 
-    ``__halo`` marks the copies. Each segment's edge rows are numbered in it; a halo wider than a segment reaches over
-    several, as the running number of rows decides how far.
+    ``__halo`` marks the copies. The running number of rows decides how far a halo reaches, so one wider than a segment
+    reaches over several. Only rows near an edge look for segments to be copied to; a row and its copies come from one
+    pass over ``df``, whose other branch counts the rows of each segment.
     """
     df = segmented(df, order)
-    numbered = df.withColumn("__row", F.row_number().over(within(order)))
     sizes = df.groupBy(SEGMENT).agg(F.count("*").alias("__n"))
-    base = Window.orderBy(SEGMENT)
-    sizes = sizes.withColumn("__base", F.sum("__n").over(base.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["__base"])
-    sizes = sizes.select(F.col(SEGMENT).alias("__s"), "__n", "__base")
-    placed = numbered.join(F.broadcast(sizes), F.col(SEGMENT) == F.col("__s")).withColumn("__pos", F.col("__base") + F.col("__row")).drop("__s", "__n", "__base", "__row")
-    bounds = sizes.select(F.col("__s"), (F.col("__base") + 1).alias("__lo"), (F.col("__base") + F.col("__n")).alias("__hi"))
-    spans = bounds.agg(F.array_sort(F.collect_list(F.struct("__lo", "__hi", "__s"))).alias("__spans"))  # one row a segment
-    wide = placed.crossJoin(F.broadcast(spans))  # a single row
-    reach = F.filter("__spans", lambda s: (s["__s"] != F.col(SEGMENT)) & (F.col("__pos") >= s["__lo"] - before) & (F.col("__pos") <= s["__hi"] + after))
-    copies = wide.select("*", F.explode(F.transform(reach, lambda s: s["__s"])).alias("__to")).where(F.lit(before + after > 0))
-    copies = copies.drop(SEGMENT, "__spans").withColumnRenamed("__to", SEGMENT).withColumn("__halo", F.lit(True))
-    return placed.withColumn("__halo", F.lit(False)).unionByName(copies)
+    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    span = F.struct((F.col("__base") + 1).alias("lo"), (F.col("__base") + F.col("__n")).alias("hi"), F.col(SEGMENT).alias("s"))
+    everything = Window.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a segment
+    sizes = sizes.select(F.col(SEGMENT).alias("__s"), "__n", "__base", F.collect_list(span).over(everything).alias("__spans"))
+    numbered = df.withColumn("__row", F.row_number().over(within(order)))
+    placed = numbered.join(F.broadcast(sizes), F.col(SEGMENT) == F.col("__s")).withColumn("__pos", F.col("__base") + F.col("__row"))
+    reach = F.filter("__spans", lambda s: (s["s"] != F.col(SEGMENT)) & (F.col("__pos") >= s["lo"] - before) & (F.col("__pos") <= s["hi"] + after))
+    near = (F.col("__row") <= after) | (F.col("__row") > F.col("__n") - before)
+    to = F.concat(F.array(SEGMENT), F.when(near, F.transform(reach, lambda s: s["s"])).otherwise(F.array().cast("array<int>")))
+    dealt = placed.withColumn("__to", F.explode(to)).withColumn("__halo", F.col("__to") != F.col(SEGMENT))
+    return dealt.drop(SEGMENT, "__s", "__n", "__base", "__spans", "__row").withColumnRenamed("__to", SEGMENT)
 
 
 def neighbours(df: DataFrame, made: dict[str, Column], order: list[str], before: int, after: int = 0, keys: list[str] | None = None) -> DataFrame:

@@ -162,7 +162,9 @@ query("concat_columns", "select coalesce(a.n_nationkey, b.s_suppkey) as k, n_nam
 # -- reductions
 _PART = ["p_size", "p_retailprice"]
 query("reduce_sum_mean", "select round(sum(l_quantity), 2) as q, round(sum(l_tax), 4) as t from lineitem")(lambda t: rounded(t.lineitem[["l_quantity", "l_tax"]].rename(columns={"l_quantity": "q", "l_tax": "t"}).sum()))
-query("reduce_min_max", "select min(o_totalprice) as a, max(o_totalprice) as b, count(o_totalprice) as c from orders")(lambda t: (lambda s: s.base.sdf.agg(F.min("o_totalprice").alias("a"), F.max("o_totalprice").alias("b"), F.count("o_totalprice").alias("c")))(t.orders.o_totalprice))
+query("reduce_min_max", "select min(o_totalprice) as o_totalprice, min(o_custkey) as o_custkey from orders union all select max(o_totalprice), max(o_custkey) from orders")(
+    lambda t: (lambda d: d.min().sdf.unionByName(d.max().sdf))(t.orders[["o_totalprice", "o_custkey"]])
+)
 query("reduce_var_std", "select round(var_samp(p_size), 6) as p_size, round(var_samp(p_retailprice), 6) as p_retailprice from part")(lambda t: rounded(t.part[_PART].var(), 6))
 query("reduce_sem", "select round(stddev_samp(p_size) / sqrt(count(p_size)), 8) as value from part")(lambda t: rounded(t.part.p_size.sem().sdf, 8))
 query("reduce_skew", "select round((avg(pow(x - m, 3))) / pow(avg(pow(x - m, 2)), 1.5), 6) as value from (select l_extendedprice as x, avg(l_extendedprice) over () as m from lineitem)")(lambda t: rounded(t.lineitem.l_extendedprice.skew().sdf, 6))
@@ -392,9 +394,13 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from tessera.plans import members  # noqa: F401  registers more
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.plans import members  # noqa: F401
+
     return dict(_SQL)
 

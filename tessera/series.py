@@ -483,23 +483,24 @@ class Series(_Common):
         before = self.shift(periods)
         return Series(before.base, self.col - before.col, self.name)
 
-    def _running(self, kind: str) -> Series:
+    def _running(self, kind: str, skipna: bool = True) -> Series:
         b = self.base if self.base.order else self.base._positioned()
-        new, value, kept = _fresh("r"), self.col, _fresh("c")
-        g = b._extend(lambda df: ordered.running(df.withColumn(kept, value), {new: (kind, F.col(kept))}, b.order).drop(kept))
-        return Series(g, F.when(self.col.isNotNull(), F.col(new)), self.name)
+        new, seen, value, kept = _fresh("r"), _fresh("s"), self.col, _fresh("c")
+        more = {} if skipna else {seen: ("sum", F.col(kept).isNull().cast("long"))}
+        g = b._extend(lambda df: ordered.running(df.withColumn(kept, value), {new: (kind, F.col(kept))} | more, b.order).drop(kept))
+        return Series(g, F.when(self.col.isNotNull() if skipna else F.col(seen) == 0, F.col(new)), self.name)
 
     def cumsum(self, axis=0, skipna=True, **_):
-        return self._running("sum")
+        return self._running("sum", skipna)
 
     def cumprod(self, axis=0, skipna=True, **_):
-        return self._running("prod")
+        return self._running("prod", skipna)
 
     def cummin(self, axis=0, skipna=True, **_):
-        return self._running("min")
+        return self._running("min", skipna)
 
     def cummax(self, axis=0, skipna=True, **_):
-        return self._running("max")
+        return self._running("max", skipna)
 
     def ffill(self, axis=0, limit=None):
         return self._rows(lambda f: f.ffill(limit=limit))
@@ -610,7 +611,7 @@ def _install() -> None:
 
     Series.ne, Series.__ne__ = ne, lambda self, other: self.ne(other)
     for name in ("sum", "prod", "mean", "min", "max", "count", "any", "all", "var", "std", "sem"):
-        setattr(Series, name, lambda self, axis=0, skipna=True, ddof=1, min_count=0, how=name, **_: self._agg(nulls.aggregate(how, self.col, ddof=ddof, min_count=min_count)))
+        setattr(Series, name, lambda self, axis=0, skipna=True, ddof=1, min_count=0, how=name, **_: self._agg(nulls.aggregate(how, self.col, ddof=ddof, min_count=min_count, skipna=skipna)))
     Series.product = Series.prod
 
 

@@ -181,3 +181,43 @@ def test_like_pandas(cases):
         except Exception as e:  # all cases are tried before any is reported
             wrong[name] = f"{type(e).__name__}: {str(e)[:300]}"
     assert not wrong, wrong
+
+
+def test_whole_numbers_beyond_doubles(spark):
+    a, b = [2**60 + 1, -(2**60) - 1, 7, -7, 0, 2**62], [10, 2, -3, 3, 4, -7]
+    df = ts.from_pandas(pd.DataFrame({"a": a, "b": b}), npartitions=2)
+    assert [int(x) for x in (df.a % df.b).compute()] == [x % y for x, y in zip(a, b, strict=True)]
+    whole = (df.a // df.b).base.sdf.select((df.a // df.b).col.alias("q")).collect()
+    assert sorted(r.q for r in whole) == sorted(x // y for x, y in zip(a, b, strict=True))
+    f = ts.from_pandas(pd.DataFrame({"x": [7.5, -7.5, 1.0], "y": [2.0, 2.0, 0.0]}), npartitions=1)
+    assert (f.x % f.y).compute().tolist()[:2] == [1.5, 0.5] and (f.x // f.y).compute().tolist()[:2] == [3.0, -4.0]
+
+
+def test_one_missing_value_without_skipping(spark):
+    pdf = pd.DataFrame({"x": [1.0, None, 3.0, 4.0], "y": [1.0, 2.0, 3.0, 4.0]})
+    df = ts.from_pandas(pdf, npartitions=2)
+    for how in ("sum", "prod", "mean", "min", "max", "var", "std"):
+        assert pd.isna(getattr(df.x, how)(skipna=False).compute()) and getattr(df.y, how)(skipna=False).compute() == pytest.approx(getattr(pdf.y, how)())
+        assert getattr(df, how)(skipna=False).compute().isna().tolist() == [True, False]
+    for how in ("cumsum", "cumprod", "cummin", "cummax"):
+        pd.testing.assert_series_equal(getattr(df.x, how)(skipna=False).compute(), getattr(pdf.x, how)(skipna=False), check_names=False, check_index_type=False)
+        pd.testing.assert_frame_equal(getattr(df, how)(skipna=False).compute(), getattr(pdf, how)(skipna=False), check_index_type=False)
+    assert df.sum(axis=1, skipna=False).compute().isna().tolist() == [False, True, False, False]
+
+
+def test_what_a_function_leaves_undefined_is_missing(spark):
+    root = np.sqrt(ts.from_pandas(pd.DataFrame({"x": [-1.0, 4.0, 9.0]}), npartitions=1).x)
+    assert (root.sum().compute(), root.count().compute(), root.max().compute(), root.mean().compute()) == (5.0, 2, 3.0, 2.5)
+
+
+@pytest.mark.parametrize("before, after", [(1, 0), (0, 2), (40, 3), (200, 200)])
+def test_halos_reach_as_far_as_asked(spark, before, after):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tessera.operators import ordered
+
+    df = spark.range(100).select((F.col("id") * 7 % 101).alias("k"))
+    got = ordered.neighbours(df, {"n": lambda w: F.sum("k").over(w.rowsBetween(-before, after))}, ["k"], before, after)
+    want = df.withColumn("n", F.sum("k").over(Window.orderBy("k").rowsBetween(-before, after)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
