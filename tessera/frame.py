@@ -183,7 +183,7 @@ class _Common:
 
 
 class Frame(_Common):
-    def __init__(self, sdf: Spark, columns: list[str] | None = None, index: str | None = None, order: list[str] | None = None, index_name: str | None = None, cats: dict | None = None, root: object = None, ext: tuple = (), reverse: list | None = None) -> None:
+    def __init__(self, sdf: Spark, columns: list[str] | None = None, index: str | None = None, order: list[str] | None = None, index_name: str | None = None, cats: dict | None = None, root: ordered.Rows | None = None, ext: tuple = (), reverse: list | None = None) -> None:
         put = object.__setattr__
         put(self, "sdf", sdf)
         put(self, "_columns", list(columns if columns is not None else [c for c in sdf.columns if not c.startswith("__")]))
@@ -191,7 +191,7 @@ class Frame(_Common):
         put(self, "order", list(order if order is not None else [index] if index else []))
         put(self, "index_name", index_name)
         put(self, "cats", dict(cats or {}))  # column -> (categories, ordered)
-        put(self, "root", root or object())
+        put(self, "root", root or ordered.Rows(sdf))
         put(self, "ext", ext)
         put(self, "reverse", reverse)  # the order backwards, where it isn't plain columns
 
@@ -891,7 +891,7 @@ class Frame(_Common):
         names = f.numeric()
         new, seen = {c: _fresh() for c in names}, {c: _fresh() for c in names}
         more = {} if skipna else {seen[c]: ("sum", F.col(c).isNull().cast("long")) for c in names}
-        g = f._extend(lambda df: ordered.running(df, {new[c]: (kind, F.col(c)) for c in names} | more, f.order))
+        g = f._extend(lambda df: ordered.running(df, {new[c]: (kind, F.col(c)) for c in names} | more, f.order, rows=f.root))
         there = lambda c: F.col(c).isNotNull() if skipna else F.col(seen[c]) == 0
         return g._each(lambda s: Series(g, F.when(there(s.name), F.col(new[s.name])), s.name), names)[names]
 
@@ -923,11 +923,11 @@ class Frame(_Common):
 
     def ffill(self, axis=0, limit=None) -> Frame:
         f = self._positioned()
-        return f._new(ordered.filled(f.sdf, f._columns, f.order, True, limit))
+        return f._new(ordered.filled(f.sdf, f._columns, f.order, True, limit, rows=f.root))
 
     def bfill(self, axis=0, limit=None) -> Frame:
         f = self._positioned()
-        return f._new(ordered.filled(f.sdf, f._columns, f.order, False, limit))
+        return f._new(ordered.filled(f.sdf, f._columns, f.order, False, limit, rows=f.root))
 
     def rolling(self, window, min_periods=None, center=False, win_type=None, **_):
         from tessera.operators.windows import Rolling
@@ -1120,7 +1120,7 @@ def align(a: Frame, b: Frame, join: str = "outer", fill_value=None) -> tuple[Fra
     left = x.sdf.select(F.col(x.index_column).alias("__ka"), *[F.col(f"`{c}`").alias(f"__a_{c}") for c in x._columns])
     right = y.sdf.select(F.col(y.index_column).alias("__kb"), *[F.col(f"`{c}`").alias(f"__b_{c}") for c in y._columns])
     sdf = left.join(right, F.col("__ka") == F.col("__kb"), how).withColumn(IDX, F.coalesce("__ka", "__kb")).drop("__ka", "__kb")
-    root = object()
+    root = ordered.Rows(sdf)
 
     def view(f: Frame, side: str) -> Frame:
         out = _View(sdf, f._columns, IDX, [IDX], f.index_name, f.cats, root)

@@ -48,7 +48,7 @@ class Rolling:
             after = (self.window - 1) // 2 if self.center else 0
 
             def extend(df):
-                return ordered.neighbours(df, {new[c]: (lambda w, c=c: cell(c, w.rowsBetween(-before, after))) for c in names}, frame.order, before, after, self.keys)
+                return ordered.neighbours(df, {new[c]: (lambda w, c=c: cell(c, w.rowsBetween(-before, after))) for c in names}, frame.order, before, after, self.keys, frame.root)
 
         wide = frame._extend(extend)
         if self.series:
@@ -90,7 +90,7 @@ class Rolling:
         frame = self.frame
         pairs = {f"{a}_{b}": (a, b) for a in self.columns for b in self.columns}
         before = self.window - 1
-        wide = ordered.neighbours(frame.sdf, {k: (lambda w, a=a, b=b: F.when(F.count(F.col(a)).over(w.rowsBetween(-before, 0)) >= self.least, F.covar_samp(a, b).over(w.rowsBetween(-before, 0)))) for k, (a, b) in pairs.items()}, frame.order, before, 0, self.keys)
+        wide = ordered.neighbours(frame.sdf, {k: (lambda w, a=a, b=b: F.when(F.count(F.col(a)).over(w.rowsBetween(-before, 0)) >= self.least, F.covar_samp(a, b).over(w.rowsBetween(-before, 0)))) for k, (a, b) in pairs.items()}, frame.order, before, 0, self.keys, frame.root)
         return frame._new(wide, list(pairs))
 
     def agg(self, hows) -> Frame:

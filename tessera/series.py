@@ -434,7 +434,7 @@ class Series(_Common):
     def _monotonic(self, up: bool):
         s = self.to_frame()._positioned()
         name = s._columns[0]
-        sdf = ordered.neighbours(s.sdf, {"__prev": lambda w: F.lag(name).over(w)}, s.order, 1)
+        sdf = ordered.neighbours(s.sdf, {"__prev": lambda w: F.lag(name).over(w)}, s.order, 1, rows=s.root)
         c, p = F.col(name), F.col("__prev")
         return Scalar(sdf.agg(F.coalesce(F.bool_and((c >= p) if up else (c <= p)), F.lit(True))))
 
@@ -469,7 +469,7 @@ class Series(_Common):
         b = self.base if self.base.order else self.base._positioned()
         new, value = _fresh("w"), self.col
         kept = _fresh("c")
-        g = b._extend(lambda df: ordered.neighbours(df.withColumn(kept, value), {new: lambda w: f(F.col(kept), w)}, b.order, before, after).drop(kept))
+        g = b._extend(lambda df: ordered.neighbours(df.withColumn(kept, value), {new: lambda w: f(F.col(kept), w)}, b.order, before, after, rows=b.root).drop(kept))
         return Series(g, F.col(new), self.name)
 
     def shift(self, periods: int = 1, freq=None, axis=0):
@@ -487,7 +487,7 @@ class Series(_Common):
         b = self.base if self.base.order else self.base._positioned()
         new, seen, value, kept = _fresh("r"), _fresh("s"), self.col, _fresh("c")
         more = {} if skipna else {seen: ("sum", F.col(kept).isNull().cast("long"))}
-        g = b._extend(lambda df: ordered.running(df.withColumn(kept, value), {new: (kind, F.col(kept))} | more, b.order).drop(kept))
+        g = b._extend(lambda df: ordered.running(df.withColumn(kept, value), {new: (kind, F.col(kept))} | more, b.order, rows=b.root).drop(kept))
         return Series(g, F.when(self.col.isNotNull() if skipna else F.col(seen) == 0, F.col(new)), self.name)
 
     def cumsum(self, axis=0, skipna=True, **_):

@@ -44,3 +44,18 @@ def test_semi_join_keeps_left_columns():
     orders, customers = ts.read_parquet(f"{FOLDER}/orders.parquet"), ts.read_parquet(f"{FOLDER}/customer.parquet")
     out = orders.merge(customers, "leftsemi", left_on="o_custkey", right_on="c_custkey")
     assert list(out.columns) == list(orders.columns)
+
+
+def test_ordered_operators_share_their_scans(spark):
+    d = ts.read_parquet(f"{FOLDER}/events.parquet").set_index("event_id", drop=False)
+    scans = []
+    for n in (1, 2, 4):
+        out = d
+        for i in range(n):
+            out = out.assign(**{f"s{i}": d.value.shift(i + 1)})
+        plan = out.spark_frame()._jdf.queryExecution().optimizedPlan().toString()
+        scans.append(plan.count("Relation [") - n)  # one for the rows; the sizes of segments are the same plan for each operator
+    assert scans == [1, 1, 1]
+    got = out.reset_index(drop=True).compute().sort_values("event_id")
+    for i in range(4):
+        assert got[f"s{i}"].fillna(-1).tolist() == got.value.shift(i + 1).fillna(-1).tolist()
