@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import cut, small_batches
+from tessera.llm.store import small_batches, written
 from tessera.llm.textarrays import U64, bags, mix64, released, slices, utf8
 
 WORDS = 5
@@ -139,7 +139,7 @@ def fit_idf(docs: DataFrame, text: str = "text", words: int = WORDS) -> Idf:
     its own text worthless and its few edits all that counts.
     """
     total = docs.count()
-    counted = cut(docs.select(text).mapInArrow(_often(words), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")))
+    counted = written(docs.select(text).mapInArrow(_often(words), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")))
     everything = (counted.where("shingle is null").agg(F.sum("df")).first()[0] or 0) / max(total, 1)
     share = max(FREQUENT, everything / MOST_FREQUENT)
     least = max(2.0, share * total)
@@ -531,17 +531,17 @@ def components(edges: DataFrame, a: str = "node", b: str = "other") -> DataFrame
     Alternating large-star and small-star steps, each a grouped minimum and a join, until all components are stars.
     Each step's edges are written to the shared folder; their number never grows.
     """
-    pairs = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    pairs = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while not _settled(pairs):
         # large star: neighbours above u point to the least of u and its neighbours
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__rows")).withColumn("m", F.least("u", "m")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__rows")).withColumn("m", F.least("u", "m")))
         large = spread_join(both.where("v > u"), least.select("u", "m"), "u", ["v"], least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
+        large = written(large)
         # small star: u and its neighbours below point to the least of them
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(below.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = cut(small)
+        pairs = written(small)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -558,11 +558,11 @@ def crowded_cells(rows: DataFrame, roots: DataFrame) -> DataFrame | None:
     that of what is left apart times the bucket. None if every bucket is one component.
     """
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = cut(rows.withColumn("cost", F.greatest("size", F.lit(128))))
+    rows = written(rows.withColumn("cost", F.greatest("size", F.lit(128))))
     of = rows.groupBy("band", "root").agg(F.sum("cost").alias("cost"))
     of = of.groupBy("band").agg(F.max(F.struct("cost", "root")).alias("top"), F.sum("cost").alias("all"), F.count("*").alias("n_roots")).where("n_roots > 1")
     of = of.select("band", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.cost")) / BLOCK).cast("int").alias("na"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"))
-    of = cut(of)
+    of = written(of)
     if of.isEmpty():
         return None
     own = rows.join(of, "band")
@@ -593,17 +593,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
     idf = fit_idf(docs, words=words)
     shared = spark.sparkContext.broadcast((idf.shingles, idf.weights, idf.rare))
     signed = docs.select("text").where("text is not null").mapInArrow(_sign(shared, words), "node binary, size long, bands array<long>, sketch binary")
-    signed = cut(signed.dropDuplicates(["node"]))
+    signed = written(signed.dropDuplicates(["node"]))
     named = docs.select("doc_id", _name(F.col("text")).alias("node"))
 
     banded = signed.select("node", "size", "bands", "sketch", F.posexplode("bands").alias("place", "band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(banded.select("band", "place", "node", "sketch").join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP))))
+    rows = written(banded.select("band", "place", "node", "sketch").join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP))))
     parted = rows.where(F.col("n") > GROUP)
     parted = parted.join(parted.groupBy("band").agg(F.min(F.struct("node", "sketch")).alias("lead")), "band")
     whole = rows.where(F.col("n") <= GROUP).withColumn("lead", F.lit(None).cast(parted.schema["lead"].dataType))
     first = whole.unionByName(parted).select("band", "part", "node", "sketch", "n", "lead").repartition("band", "part").sortWithinPartitions("band", "part", "node")
-    pairs = cut(first.mapInArrow(_first, "node binary, other binary").distinct())
+    pairs = written(first.mapInArrow(_first, "node binary, other binary").distinct())
 
     def vectors(nodes: DataFrame) -> DataFrame:
         texts = docs.where("text is not null").select(_name(F.col("text")).alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
@@ -613,23 +613,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS)
         return df.groupBy(key).agg(F.count("*").alias("__rows"))
 
     ends = pairs.select("node").union(pairs.select(F.col("other").alias("node"))).distinct()
-    found = cut(vectors(ends))
+    found = written(vectors(ends))
     sided = spread_join(pairs, found.withColumnRenamed("vector", "va"), "node", ["other"], counted(pairs, "node"))
     sided = spread_join(sided, found.select(F.col("node").alias("other"), F.col("vector").alias("vb")), "other", ["node"], counted(pairs, "other"))
-    links = cut(sided.mapInArrow(_verify(shared, similarity), "node binary, other binary"))
+    links = written(sided.mapInArrow(_verify(shared, similarity), "node binary, other binary"))
     roots = components(links)
 
     crowded = rows.where(F.col("n") > PAIRWISE).select("band", "place", "node", "sketch").join(signed.select("node", "size", "bands"), "node")
     if (cells := crowded_cells(crowded, roots)) is not None:
-        wanted = cut(_cell_rows(cells).mapInArrow(_wanted, "band long, a int, b int, node binary, root binary, leads boolean"))
+        wanted = written(_cell_rows(cells).mapInArrow(_wanted, "band long, a int, b int, node binary, root binary, leads boolean"))
         if not wanted.isEmpty():
-            found = cut(vectors(wanted.select("node").distinct()))
+            found = written(vectors(wanted.select("node").distinct()))
             full = _cell_rows(spread_join(wanted, found, "node", ["band", "a", "b"], counted(wanted, "node")))
-            more = cut(full.mapInArrow(_blocks(shared, similarity), "node binary, other binary"))
+            more = written(full.mapInArrow(_blocks(shared, similarity), "node binary, other binary"))
             if not more.isEmpty():
                 roots = components(roots.select("node", F.col("root").alias("other")).union(more))
     shared.unpersist()
-    per_node = cut(named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("__rows")))
+    per_node = written(named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("__rows")))
     rooted = per_node.select("node", "first").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     per_root = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n_texts"), F.count("*").alias("__rows"))
     of_node = spread_join(rooted, per_root.drop("__rows"), "root", ["node"], per_root).select("node", "class_id", "n_texts")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir`` or set on the context; it must be one that all executors share."""
@@ -30,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a compressed table; the shuffles that led to it are removed once it is written."""
+    spark, path = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder, wherever it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
