@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.store import small_batches
-from tessera.llm.textarrays import POWERS, U64, mix64, released, utf8
+from tessera.llm.textarrays import BASE, POWERS, U64, mix64, released, slices, utf8
 
 LENGTH = 100
 GRAM = 28
 COVER, PERIOD = (0, 1, 3, 9), 13  # every difference modulo 13 is one of two members
 CHUNK_BYTES = 3 << 20  # text that a task holds at a time
 GRAM_BUCKET_BYTES, SUFFIX_BUCKET_BYTES = 32 << 20, 2 << 20  # text of the corpus for each bucket
+BLOCK_BYTES = 1 << 19  # text of a bucket that is compared together
+FINER = (24, 8, 1)  # windows of a run where those with one gram are more text than that
 SORTED_AT_ONCE = 1 << 18  # suffixes of one block
 SCAN = 1 << 18
 
@@ -236,38 +239,106 @@ def _cover_ranks(words: np.ndarray, sample: np.ndarray, ends: np.ndarray, length
     return ranks
 
 
+class _Runs(NamedTuple):
+    """Neighbouring windows with one anchor: where their text begins, how many they are, how far the first lies before
+    the anchor, its rank among all windows, and its place in the answer."""
+
+    at: np.ndarray
+    n: np.ndarray
+    off: np.ndarray
+    rank: np.ndarray
+    slot: np.ndarray
+
+    def part(self, which: np.ndarray) -> _Runs:
+        return _Runs(*(x[which] for x in self))
+
+
+def _cut_apart(runs: _Runs, width: int) -> _Runs:
+    """Runs whose windows begin in one stretch of ``width`` places before the anchor."""
+    last = runs.off - runs.n + 1
+    pieces = runs.off // width - last // width + 1
+    of = np.repeat(np.arange(len(pieces)), pieces)
+    stretch = runs.off[of] // width - (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    off = np.minimum(runs.off[of], stretch * width + width - 1)
+    ahead = runs.off[of] - off
+    return _Runs(runs.at[of] + ahead, off - np.maximum(last[of], stretch * width) + 1, off, runs.rank[of] + ahead, runs.slot[of] + ahead)
+
+
+def _common(runs: _Runs, text: np.ndarray, width: int, length: int) -> np.ndarray:
+    """Hashes of the bytes that all windows in a run's stretch hold: equal windows have equal ones."""
+    stretch = runs.off // width
+    at = runs.at + runs.off - stretch * width
+    out = stretch.astype(U64)
+    for k in range(length - width + 1):
+        out = out * U64(BASE) + text[at + k]
+    return mix64(out)
+
+
+def _settle(runs: _Runs, text: np.ndarray, length: int, widths: list[int], out: np.ndarray) -> None:
+    """Compare the runs in blocks of about ``BLOCK_BYTES``; what has to meet but is more is cut into finer runs."""
+    key = _common(runs, text, widths[0], length)
+    order = np.argsort(key, kind="stable")
+    first = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]])
+    size = np.concatenate([[0], np.cumsum(runs.n[order] + length - 1)])[first]
+    for a, b in slices(size, BLOCK_BYTES):
+        own = runs.part(order[first[a] : first[b]])
+        if size[b] - size[a] <= BLOCK_BYTES or len(widths) == 1:
+            _sort(own, text, length, out)
+            continue
+        own = _cut_apart(own, widths[1])
+        own = own.part(np.argsort(own.rank))
+        ends = own.at + own.n + length - 1
+        known: dict[int, dict[bytes, int]] = {}
+        fresh = np.ones(len(own.at), bool)
+        for k, (x, y, o) in enumerate(zip(own.at.tolist(), ends.tolist(), own.off.tolist(), strict=True)):
+            fresh[k] = known.setdefault(o, {}).setdefault(text[x:y].tobytes(), k) == k
+        for x, n in zip(own.slot[~fresh].tolist(), own.n[~fresh].tolist(), strict=True):
+            out[x : x + n] = True  # the same windows in the same order as those of a run before
+        _settle(own.part(np.flatnonzero(fresh)), text, length, widths[1:], out)
+
+
 def repeats(heads: np.ndarray, chunks: np.ndarray, text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each window of the contexts, one after another: is there an equal window of smaller rank in this bucket?
 
     ``text`` holds the contexts (n + length - 1 bytes each) one after another.
     """
     n = heads["n"].astype(np.int64)
+    order_of = np.empty(len(heads), np.int64)
+    order_of[np.lexsort((heads["start"], heads["idx"], chunks, heads["doc"]))] = np.arange(len(heads))
+    sizes = n + length - 1
+    runs = _Runs(np.cumsum(sizes) - sizes, n, heads["off"].astype(np.int64), order_of << 16, np.cumsum(n) - n)
+    out = np.zeros(int(n.sum()), bool)
+    widest = length - GRAM + 1  # then the common bytes are the anchor's gram
+    _settle(runs, text, length, [widest, *(w for w in FINER if w < widest)], out)
+    return out
+
+
+def _sort(runs: _Runs, text: np.ndarray, length: int, out: np.ndarray) -> None:
+    """Mark the windows that equal one of smaller rank in these runs."""
+    n, off = runs.n, runs.off
     sizes = n + length - 1
     pad = 16
     base = np.concatenate([[0], np.cumsum(sizes + pad)])
     padded = np.zeros(int(base[-1]), np.uint8)
-    context = np.repeat(np.arange(len(heads)), sizes)
-    within = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    context = np.repeat(np.arange(len(n)), sizes)
+    within = np.arange(len(context)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     places = base[context] + within
-    padded[places] = text
+    padded[places] = text[runs.at[context] + within]
     words = _words64(padded)
-    residue = (within - heads["off"].astype(np.int64)[context]) % PERIOD
+    residue = (within - off[context]) % PERIOD
     starts = np.flatnonzero(within < n[context])
     # a window that repeats has its first 16 and last 8 bytes in common with another at its place in the period
     at = places[starts]
     ends = mix64(words[at]) + mix64(words[at + 8] * U64(3)) + mix64(words[at + length - 8] * U64(5)) + residue[starts].astype(U64)
-    alive = np.sort(_tied(ends)[0])
-    n_windows, starts = len(starts), starts[alive]
-    used = np.zeros(len(heads), bool)
+    starts = starts[np.sort(_tied(ends)[0])]
+    used = np.zeros(len(n), bool)
     used[context[starts]] = True
     in_sample = np.flatnonzero(_IN_COVER[residue] & used[context])
     ranks = _cover_ranks(words, places[in_sample], (base[:-1] + sizes)[context[in_sample]], length)
     suffix, owner, residue, offset = places[starts], context[starts], residue[starts], within[starts]
     del context, within, places, in_sample, starts, at, ends
 
-    order_of = np.empty(len(heads), np.int64)
-    order_of[np.lexsort((heads["start"], heads["idx"], chunks, heads["doc"]))] = np.arange(len(heads))
-    rank = (order_of[owner] << 16) | offset
+    rank = runs.rank[owner] + offset
     found = np.zeros(len(suffix), bool)
     blocks = max(1, math.ceil(len(suffix) / SORTED_AT_ONCE))
     head = words[suffix]
@@ -297,9 +368,7 @@ def repeats(heads: np.ndarray, chunks: np.ndarray, text: np.ndarray, length: int
         ordered = rank[own]
         least = np.minimum.reduceat(ordered, first)
         found[own] = ordered > np.repeat(least, np.diff(np.append(first, len(own))))
-    repeated = np.zeros(n_windows, bool)
-    repeated[alive] = found
-    return repeated
+    out[(runs.slot[owner] + offset)[found]] = True
 
 
 def _sorted_bucket(length: int):
@@ -313,19 +382,19 @@ def _sorted_bucket(length: int):
             chunks = np.repeat(np.array(table["chunk"].to_pylist(), np.int64), [len(x) for x in parts])
             text = np.frombuffer(b"".join(table["texts"].to_pylist()), np.uint8)
             flags = repeats(heads, chunks, text, length)
-            n = heads["n"].astype(np.int64)
-            owner = np.repeat(np.arange(len(heads)), n)
-            offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            ends = np.cumsum(heads["n"], dtype=np.int64)
             on = np.flatnonzero(flags)
             if len(on):
+                owner = np.searchsorted(ends, on, "right")
                 fresh = np.ones(len(on), bool)
-                fresh[1:] = (on[1:] != on[:-1] + 1) | (owner[on[1:]] != owner[on[:-1]])
+                fresh[1:] = (on[1:] != on[:-1] + 1) | (owner[1:] != owner[:-1])
                 first = np.flatnonzero(fresh)
+                owner = owner[first]
                 runs = np.zeros(len(first), _RUN)
-                h = heads[owner[on[first]]]
-                runs["idx"], runs["start"] = h["idx"], h["start"] + offset[on[first]]
+                runs["idx"] = heads["idx"][owner]
+                runs["start"] = heads["start"][owner] + on[first] - (ends - heads["n"])[owner]
                 runs["n"] = np.diff(np.append(first, len(on)))
-                for chunk, p in _by_bucket(chunks[owner[on[first]]]):
+                for chunk, p in _by_bucket(chunks[owner]):
                     out.append((chunk, runs[p].tobytes()))
         return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "runs": pa.array([r[1] for r in out], pa.binary())})
 
@@ -345,9 +414,10 @@ def _removed(schema: pa.Schema, length: int, as_text: bool):
             starts = offsets[runs["idx"]] + runs["start"]
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + runs["n"] + length - 1, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        before = np.zeros(n + 1, np.int64)
-        np.cumsum(gone, out=before[1:])
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        del edge
+        before = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
+        np.cumsum(gone, out=before[1:], dtype=before.dtype)
         opens = gone.copy()
         inner = offsets[1:-1][offsets[1:-1] < n]
         opens[1:] &= ~gone[:-1]

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -145,6 +146,37 @@ def test_suffix_blocks_and_shorter_strings(spark, monkeypatch):
     assert got == _brute_dedup(rows, 40)
 
 
+@pytest.mark.parametrize("n", [600, 12_000])
+def test_a_large_bucket_is_compared_in_bounded_blocks(monkeypatch, n):
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 1 << 15, raising=False)
+    rng = np.random.default_rng(1)
+    gram, passage = (rng.integers(0, 256, size, np.uint8) for size in (28, 50))
+    heads = np.zeros(n, suffixdedup._HEAD)
+    heads["doc"], heads["n"], heads["off"] = rng.permutation(n), rng.integers(1, 41, n), 60
+    texts = []
+    for k in range(n):  # a passage's edge: the gram and what precedes it are the same, then texts part at some place
+        text = rng.integers(0, 256, int(heads["n"][k]) + 99, np.uint8)
+        text[10:60], text[60:88] = passage, gram
+        if k % 3:
+            text[:10], text[88:] = 7, 9
+        texts.append(text)
+    heads["off"][::5] = 59
+    text, chunks = np.concatenate(texts), rng.integers(0, 9, n)
+    first: dict[bytes, int] = {}
+    for k in np.argsort(heads["doc"]).tolist():
+        for j in range(int(heads["n"][k])):
+            first.setdefault((int(heads["off"][k]) - j, texts[k][j : j + 100].tobytes()), (k, j))
+    want = [first[int(heads["off"][k]) - j, texts[k][j : j + 100].tobytes()] != (k, j) for k in range(n) for j in range(int(heads["n"][k]))]
+    tracemalloc.start()
+    try:
+        got = suffixdedup.repeats(heads, chunks, text)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.tolist() == want and sum(want)
+    assert n < 1000 or peak < 20 * len(text)
+
+
 def test_cleaned_texts_hold_whole_characters(spark):
     docs = spark.createDataFrame([(1, "é" * 80), (2, "x" + "é" * 70)], "doc_id long, text string")
     out = {r.doc_id: r.text for r in suffixdedup.cleaned(docs).collect()}
