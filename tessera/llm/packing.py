@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +24,44 @@ END = 1
 STEP_TOKENS = 16 * 2048
 ROUND_TOKENS = 2 << 20  # tokens that are packed together
 SLICE = 1 << 20  # bytes of text that are cut into words together
-KEPT_BYTES = 12 << 20  # what the words that a task knows may take, about
-KEPT_BETWEEN = 3 << 20  # and those that a worker keeps for its next task
-WORD_BYTES = 160  # of a word beside its characters: its entry, its numbers
+KEPT_BYTES = 72 << 20  # what the words that a task knows may take, about
+KEPT_BETWEEN = 8 << 20  # and those that a worker keeps for its next task
+WORD_BYTES = 180  # of a word beside its characters: its entry, its numbers
 MARK = "~"
 MARKS = ".,;:!?*#$%&|"
+LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+").fullmatch  # without the dotted capital I, which lowers to two characters
+LOWERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}  # what stands for bytes that aren't printed
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, capacity long, step_group long"
 
 
+def _joined(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``ids`` one after another, and where each begins (n + 1 bounds)."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.repeat(first - at[:-1], sizes) + np.arange(at[-1])], at
+
+
+class _Words(dict):
+    """Numbers of words in the order in which they were met; one that is unknown gets the next."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Encoder:
     """Ids of whole texts. Where the tokenizer allows it, each distinct word is tokenized once and then looked up.
 
     It does if it cuts at spaces and line feeds and drops them, and cuts marks at a word's end apart, so that no token
     depends on more than one word; that is probed when the file is read. Otherwise texts are encoded as they are.
+    Words of Latin letters go to the model itself where the file's other steps do no more to them than to lower them.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,6 +73,7 @@ class Encoder:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None  # what stands between words that are tokenized in one go
         self.by_words = self._cuts_at_spaces()
+        self.model = self.tokenizer.model if self._only_lowers(path) else None
         self._clear()
 
     def _cuts_at_spaces(self) -> bool:
@@ -57,8 +86,21 @@ class Encoder:
         parted = all(ids(w + m) == ids(w) + ids(m) for w in words for m in [*MARKS, MARKS[:3], "!!", "?!.", "$%"])
         return all(ids(t) == joined for t in spaced) and parted and not ids(" ") and not ids("\n")
 
+    def _only_lowers(self, path: str) -> bool:
+        """Is a run of letters up to U+017F, but for the dotted capital I, one piece for the model, as its lowered bytes?"""
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        return (
+            steps["normalizer"] == LOWERS
+            and steps["pre_tokenizer"] == SPLITS
+            and steps["model"]["type"] == "BPE"
+            and not steps["model"].get("dropout")
+            and not any(LETTERS(x["content"]) for x in steps["added_tokens"])
+            and not any(steps[x] for x in ("truncation", "padding", "post_processor"))
+        )
+
     def _clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.known = _Words({"": 0})
         self.ids = np.zeros(0, np.uint32)
         self.first, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.uses = np.zeros(1, np.int64)
@@ -66,63 +108,85 @@ class Encoder:
 
     def trim(self, most: int) -> None:
         """Forget all but the words used most, up to so many bytes."""
+        if self.held <= most:
+            return
         names = list(self.known)
         order = np.argsort(-self.uses[1:], kind="stable") + 1
         cost = np.array([len(w) for w in names], np.int64) + WORD_BYTES + 4 * self.length
         kept = order[np.cumsum(cost[order]) <= most]
         ids, at = self._gather(kept)
-        words, uses = [names[k] for k in kept.tolist()], self.uses[kept]
+        words, uses = " ".join([names[k] for k in kept.tolist()]), self.uses[kept]
         self._clear()
-        self._keep(words, np.diff(at), ids)
+        del names  # new strings lie together, so that the memory of the others can go
+        self.known.update(zip(words.split(" ") if len(kept) else [], range(1, len(kept) + 1), strict=True))
+        self._keep(at[:-1], np.diff(at), ids, sum(map(len, self.known)))
         self.uses[1:] = uses // 2
 
-    def _keep(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.known)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
+    def _keep(self, first: np.ndarray, length: np.ndarray, ids: np.ndarray, n_chars: int) -> None:
+        """More ids, and where among all of them the next words' begin."""
+        self.first, self.length = np.concatenate([self.first, first]), np.concatenate([self.length, length])
         self.ids = np.concatenate([self.ids, ids])
-        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
-        self.held += sum(map(len, words)) + WORD_BYTES * len(words) + 4 * len(ids)
+        self.uses = np.concatenate([self.uses, np.zeros(len(length), np.int64)])
+        self.held += n_chars + WORD_BYTES * len(length) + 4 * len(ids)
 
     def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known words one after another, and where each word's begin."""
-        sizes = self.length[which]
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        return self.ids[np.repeat(self.first[which] - at[:-1], sizes) + np.arange(at[-1])], at
-
-    def _tokenize(self, words: list[str]) -> None:
-        """Words together in one go, apart from those that hold the mark themselves."""
-        plain = [w for w in words if MARK not in w] if self.mark is not None else []
-        odd = [w for w in words if MARK in w] if self.mark is not None else words
-        lengths, ids = [], []
+        return _joined(self.ids, self.first[which], self.length[which])
+
+    def _tokenize(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has: those of letters by the model, others
+        together in one go, apart from those that hold the mark themselves."""
+        lettered = np.fromiter((LETTERS(w) is not None for w in words), bool, len(words)) if self.model else np.zeros(len(words), bool)
+        marked = np.fromiter((self.mark is None or MARK in w for w in words), bool, len(words))
+        lengths, ids, order = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if lettered.any():
+            tokenize = self.model.tokenize
+            own = np.flatnonzero(lettered)
+            low = [words[k].lower() for k in own.tolist()]
+            found = [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTES))] for w in low]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+            order.append(own)
+        plain = np.flatnonzero(~lettered & ~marked)
         for i in range(0, len(plain), 8192):
-            part = plain[i : i + 8192]
+            part = [words[k] for k in plain[i : i + 8192].tolist()]
             found = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(found == self.mark)
             lengths.append(np.diff(np.append(at, len(found)), prepend=-1) - 1)
             ids.append(np.delete(found, at))
-        for w in odd:
-            found = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            order.append(plain[i : i + 8192])
+        for k in np.flatnonzero(~lettered & marked).tolist():
+            found = np.array(self.tokenizer.encode(words[k], add_special_tokens=False).ids, np.uint32)
             lengths.append(np.array([len(found)]))
             ids.append(found)
-        if lengths:
-            self._keep([*plain, *odd], np.concatenate(lengths), np.concatenate(ids))
-
-    def _learn(self, words: list[str]) -> None:
-        """Words that aren't known yet. One that ends in marks is its stem and its marks, which are cut apart anyway."""
-        whole, parted, pieces = [], [], []
-        for w in words:
-            stem = w.rstrip(MARKS)
-            if len(stem) == len(w) or not stem or not stem[-1].isalnum():
-                whole.append(w)
-            else:
-                parted.append(w)
-                pieces += (stem, w[len(stem) :])
-        self._tokenize(list({*whole, *pieces} - self.known.keys()))
-        if parted:
-            ids, at = self._gather(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
-            self._keep(parted, np.diff(at[::2]), ids)
+            order.append(np.array([k]))
+        sizes, every = np.concatenate(lengths), np.concatenate(ids)
+        back = np.argsort(np.concatenate(order))
+        return _joined(every, (np.cumsum(sizes) - sizes)[back], sizes[back])[0], sizes[back]
+
+    def _learn(self, n: int) -> None:
+        """The words from number n on. One that ends in marks is its stem and its marks, which are cut apart anyway."""
+        words, known = list(itertools.islice(self.known, n, None)), self.known
+        parted, pieces = [], []
+        for k, w in enumerate(words):
+            if w[-1] in MARKS:
+                stem = w.rstrip(MARKS)
+                if stem and stem[-1].isalnum():
+                    parted.append(k)
+                    pieces += (known[stem], known[w[len(stem) :]])
+        words += itertools.islice(known, n + len(words), None)
+        whole = np.ones(len(words), bool)
+        whole[parted] = False
+        whole = np.flatnonzero(whole)
+        ids, sizes = self._tokenize([words[k] for k in whole.tolist()])
+        first, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[whole], length[whole] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        if parted:  # their pieces are known before or among the whole ones
+            every, of = np.concatenate([self.ids, ids]), np.array(pieces)
+            more, at = _joined(every, np.concatenate([self.first, first])[of], np.concatenate([self.length, length])[of])
+            first[parted], length[parted] = len(every) + at[:-1:2], np.diff(at[::2])
+            ids = np.concatenate([ids, more])
+        self._keep(first, length, ids, sum(map(len, words)))
 
     def texts(self, column: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each with ``end``, and n + 1 bounds."""
@@ -137,10 +201,10 @@ class Encoder:
                 counts[k + 1] = len(own)
         if self.held > KEPT_BYTES:
             self.trim(KEPT_BYTES // 2)
-        new = set(words) - self.known.keys()
-        if new:
-            self._learn(list(new))
+        n = len(self.known)
         which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > n:
+            self._learn(n)
         self.uses += np.bincount(which, minlength=len(self.uses))
         ids, at = self._gather(which)
         bounds = at[np.cumsum(counts)] + np.arange(len(column) + 1)

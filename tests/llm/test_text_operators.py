@@ -109,6 +109,37 @@ def test_encoder_agrees_with_the_tokenizer_on_odd_words():
         assert ids[bounds[k] : bounds[k + 1]].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_letters_go_to_the_model_as_the_tokenizer_would_send_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encoder.model
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    words = [w for c in letters for w in (c, f"{c}b", f"a{c}b", f"the{c}", c * 3, f"{c}e\u0301", f"Une{c}s!", f"it's{c}")]
+    texts = [*words, "the", "!", "the! the!", "the ! the!!"]
+    for text in texts:
+        ids, bounds = encoder.texts(pa.array([text]))
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_a_large_vocabulary_is_tokenized_once(monkeypatch):
+    import public_tokenizers
+
+    encoder, met = packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    tokenize = packing.Encoder._tokenize
+    monkeypatch.setattr(packing.Encoder, "_tokenize", lambda self, words: (met.update(words), tokenize(self, words))[1])
+    words = ["".join(x) for x in itertools.product("abcdefghij", repeat=5)]
+    texts = [" ".join(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
+    once = [encoder.texts(pa.array([t]))[0].tolist() for t in texts]
+    assert [encoder.texts(pa.array([t]))[0].tolist() for t in texts] == once
+    assert len(met) == len(words) and set(met.values()) == {1}
+    encoder.trim(1 << 20)
+    assert encoder.held <= 1 << 20 and len(encoder.known) < 10_000
+    assert [encoder.texts(pa.array([t]))[0].tolist() for t in texts] == once
+
+
 def _brute_dedup(rows, length):
     top = max(x[0] for x in rows if x[0] is not None) + 1
     seen, out = set(), []
