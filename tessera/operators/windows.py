@@ -24,21 +24,28 @@ class Rolling:
         self.least = min_periods if min_periods is not None else (1 if self.timed else window)
         self.columns = columns or frame.numeric()
 
-    def _made(self, f, columns=None):
-        """f(column, window) -> Column; missing where fewer than min_periods values are present."""
-        frame, names = self.frame, columns or self.columns
+    def _made(self, f, columns=None, parts=(), whole=None):
+        """f(column, window) -> Column; missing where fewer than min_periods values are present.
+
+        Over a span of time, what can be put together from ``parts`` (names of PARTS) is ``whole`` of them, a function of
+        (type, part, part, ...): see ``spanned``. Else every window is gone through.
+        """
+        frame, names, least = self.frame, columns or self.columns, self.least
         new = {c: _fresh("o") for c in names}
 
         def cell(c: str, w) -> Column:
-            return F.when(F.count(F.col(c)).over(w) >= self.least, f(F.col(c), w))
+            return F.when(F.count(F.col(c)).over(w) >= least, f(F.col(c), w))
 
         if self.timed:
             n, unit = frequency(self.window if isinstance(self.window, str) else f"{int(pd.Timedelta(self.window).total_seconds() * 10**6)}us")
             span = n * FIXED[unit]
-            at = frame.index_column
+            at, cuts = frame.index_column, []
 
             def extend(df):
                 df = df.withColumn("__t", micros(F.col(at)))
+                if parts:
+                    made = {new[c]: (c, lambda count, *p, kind=df.schema[c].dataType: F.when(count >= least, _bound(lambda *q: whole(kind, *q), *p))) for c in names}
+                    return spanned(df, span, ("count", *parts), made, self.keys, cuts).drop("__t")
                 df = df if self.keys else _timed_halo(df, span)
                 w = Window.partitionBy(*(self.keys or ["__bin"])).orderBy("__t").rangeBetween(-span + 1, 0)
                 df = df.withColumns({new[c]: cell(c, w) for c in names})
@@ -57,7 +64,7 @@ class Rolling:
 
     def count(self):
         least, self.least = self.least, 0
-        out = self._made(lambda c, w: F.count(c).over(w).cast("double"))
+        out = self._made(lambda c, w: F.count(c).over(w).cast("double"), parts=("count",), whole=lambda kind, n: n.cast("double"))
         self.least = least
         return out
 
@@ -65,10 +72,10 @@ class Rolling:
         return self._made(lambda c, w: F.percentile(c, F.lit(float(q))).over(w))
 
     def var(self, ddof: int = 1):
-        return self._made(lambda c, w: _variance(c, w, ddof))
+        return self._made(lambda c, w: _variance(c, w, ddof), parts=("moments",), whole=lambda kind, m: F.when(m["n"] > ddof, m["m2"] / (m["n"] - ddof)))
 
     def std(self, ddof: int = 1):
-        return self._made(lambda c, w: F.sqrt(_variance(c, w, ddof)))
+        return self._made(lambda c, w: F.sqrt(_variance(c, w, ddof)), parts=("moments",), whole=lambda kind, m: F.when(m["n"] > ddof, F.sqrt(m["m2"] / (m["n"] - ddof))))
 
     def skew(self):
         """Without bias: missing for under three values."""
@@ -76,14 +83,22 @@ class Rolling:
             n = F.count(c).over(w).cast("double")
             return F.when(n >= 3, F.skewness(c).over(w) * F.sqrt(n * (n - 1)) / (n - 2))
 
-        return self._made(f)
+        def whole(kind, m):
+            n, spread = m["n"], m["m2"] != 0
+            return F.when((n >= 3) & spread, F.sqrt(n) * m["m3"] / F.pow(m["m2"], F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2))
+
+        return self._made(f, parts=("moments",), whole=whole)
 
     def kurt(self):
         def f(c, w):
             n = F.count(c).over(w).cast("double")
             return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c).over(w) + 6))
 
-        return self._made(f)
+        def whole(kind, m):
+            n, spread = m["n"], m["m2"] != 0
+            return F.when((n >= 4) & spread, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (n * m["m4"] / (m["m2"] * m["m2"]) - 3) + 6))
+
+        return self._made(f, parts=("moments",), whole=whole)
 
     def cov(self, ddof: int = 1) -> Frame:
         """Pairs of columns side by side."""
@@ -132,8 +147,102 @@ def _timed_halo(df, span: int):
     return df.unionByName(copies)
 
 
-for _name in ("sum", "mean", "min", "max"):
-    setattr(Rolling, _name, lambda self, how=_name: self._made(lambda c, w: {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[how](c).over(w)))
+def _moments(c: Column, over) -> Column:
+    """Number, mean, least, largest and sums of the 2nd to 4th powers of deviations from the mean."""
+    x = c.cast("double")
+    n, v = over(F.count(x)).cast("double"), over(F.var_pop(x))
+    m3 = F.when(v == 0, F.lit(0.0)).otherwise(over(F.skewness(x)) * n * F.pow(v, F.lit(1.5)))
+    m4 = F.when(v == 0, F.lit(0.0)).otherwise((over(F.kurtosis(x)) + 3) * n * v * v)
+    return F.struct(n.alias("n"), over(F.avg(x)).alias("mean"), over(F.min(x)).alias("lo"), over(F.max(x)).alias("hi"), (v * n).alias("m2"), m3.alias("m3"), m4.alias("m4"))
+
+
+def _joined_moments(a: Column, b: Column) -> Column:
+    """Moments of both; equal values have none but the mean, whatever rounding gives."""
+    na, nb, d = a["n"], b["n"], b["mean"] - a["mean"]
+    n, lo, hi = na + nb, F.least(a["lo"], b["lo"]), F.greatest(a["hi"], b["hi"])
+    made = {
+        "m2": a["m2"] + b["m2"] + d * d * na * nb / n,
+        "m3": a["m3"] + b["m3"] + d * d * d * na * nb * (na - nb) / (n * n) + 3 * d * (na * b["m2"] - nb * a["m2"]) / n,
+        "m4": a["m4"] + b["m4"] + d * d * d * d * na * nb * (na * na - na * nb + nb * nb) / (n * n * n) + 6 * d * d * (na * na * b["m2"] + nb * nb * a["m2"]) / (n * n) + 4 * d * (na * b["m3"] - nb * a["m3"]) / n,
+    }
+    cells = [F.when(lo == hi, F.lit(0.0)).otherwise(m).alias(k) for k, m in made.items()]
+    both = F.struct(n.alias("n"), F.when(lo == hi, lo).otherwise(a["mean"] + d * nb / n).alias("mean"), lo.alias("lo"), hi.alias("hi"), *cells)
+    return F.when(a.isNull() | (na == 0), b).when(b.isNull() | (nb == 0), a).otherwise(both)
+
+
+def _bound(f, *cells: Column) -> Column:
+    """f(*cells) with each cell made once, however often ``f`` names it: else expressions would double at every step."""
+    return F.transform(F.array(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)])), lambda x: f(*[x[f"c{i}"] for i in range(len(cells))]))[0]
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
+#: What aggregates over spans of time are put together from: of the rows of a stretch (by way of ``over``), and of two stretches.
+PARTS = {
+    "count": (lambda c, over: over(F.count(c)), _added), "sum": (lambda c, over: over(F.sum(c)), _added),
+    "total": (lambda c, over: over(F.sum(c.cast("double"))), _added), "moments": (_moments, lambda a, b: _bound(_joined_moments, a, b)),
+    "min": (lambda c, over: over(F.min(c)), F.least), "max": (lambda c, over: over(F.max(c)), F.greatest),
+}
+
+
+def spanned(df, span: int, parts, made: dict, keys=None, cuts: list | None = None):
+    """``df`` with aggregates of the rows of the last ``span`` microseconds up to and with each row's ``__t``.
+
+    ``made``: new name -> (column, function of the window's ``parts``). Time is cut into bins as wide as the span. A
+    window is the rest of the bin before and the start of its own, and each of the two is a running aggregate, so a row
+    costs the same however many rows a span holds; nothing is subtracted. Copies of the bin before are moved on by the
+    span: those after a row's time are the ones in its window. Bins with many rows are cut further, at quantiles of the
+    time of rows and copies, with the parts of a bin's other pieces carried on; ``cuts`` keeps these from call to call.
+    Groups are spread already and have bins only.
+    """
+    keys, columns = list(keys or []), list(dict.fromkeys(c for c, _ in made.values()))
+    t = F.col("__t")
+    if cuts is not None and not cuts and not keys:
+        cuts.append(ordered._bounds(df.select(F.explode(F.array(t, t + span)).alias("__t")), ["__t"]))
+    bounds = [] if keys or not cuts else cuts[0]
+    df = df.withColumn("__bin", t - F.pmod(t, F.lit(span))).withColumn("__copy", F.lit(False))
+    copies = df.where(t.isNotNull()).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, *columns])], (t + span).alias("__t"), (F.col("__bin") + span).alias("__bin"), F.lit(True).alias("__copy"))
+    stack = df.unionByName(copies, allowMissingColumns=True).withColumn("__piece", ordered._found(t, bounds))
+    place = [*keys, "__bin", "__piece"]
+    upto, after = Window.partitionBy(*place).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy(*place).orderBy(t.desc(), "__copy").rowsBetween(Window.unboundedPreceding, 0)
+    sides = {"own": (~F.col("__copy"), upto), "old": (F.col("__copy"), after)}
+    cells = [(f"__{side}_{i}_{p}", PARTS[p], F.when(which, F.col(f"`{c}`")), w) for side, (which, w) in sides.items() for i, c in enumerate(columns) for p in dict.fromkeys(parts)]
+    wide = stack.withColumns({name: of(c, lambda a, w=w: a.over(w)) for name, (of, _), c, w in cells})
+    kinds = {name: wide.schema[name].dataType for name, *_ in cells}
+
+    def both(name: str, join, a: Column, b: Column) -> Column:  # sums of decimals stay of their type
+        return join(a, b).cast(kinds[name]) if isinstance(kinds[name], T.DecimalType) else join(a, b)
+
+    if bounds:
+        split = stack.where(F.col("__bin").isin(sorted({int(b) - int(b) % span for b in bounds})))
+        pieces = split.groupBy("__bin", "__piece").agg(*[of(c, lambda a: a).alias(name) for name, (of, _), c, _ in cells])
+        # one row for each piece of a bin that is cut: no more than cuts and bins that they lie in
+        gathered = pieces.groupBy("__bin").agg(F.array_sort(F.collect_list(F.struct("__piece", *kinds))).alias("__all"))
+
+        def beyond(name: str, join) -> Column:
+            here = F.col("__at")["__piece"]
+            others = F.filter("__all", (lambda x: x["__piece"] < here) if name.startswith("__own") else (lambda x: x["__piece"] > here))
+            return F.aggregate(others, F.lit(None).cast(kinds[name]), lambda a, x: both(name, join, a, x[name]))
+
+        carried = gathered.select("__bin", "__all", F.explode("__all").alias("__at")).select("__bin", F.col("__at")["__piece"].alias("__piece"), *[beyond(name, join).alias(f"__c{name}") for name, (_, join), _, _ in cells])
+        wide = wide.join(F.broadcast(carried), ["__bin", "__piece"], "left")
+        wide = wide.withColumns({name: both(name, join, F.col(f"__c{name}"), F.col(name)) for name, (_, join), _, _ in cells})
+    wide = wide.where(~F.col("__copy"))
+    part = lambda i, p: both(f"__own_{i}_{p}", PARTS[p][1], F.col(f"__old_{i}_{p}"), F.col(f"__own_{i}_{p}"))
+    out = {new: whole(*[part(columns.index(c), p) for p in parts]) for new, (c, whole) in made.items()}
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("__bin", "__copy")], *[c.alias(new) for new, c in out.items()])
+
+
+def _mean(kind: T.DataType, total: Column, n: Column) -> Column:
+    made = total / n
+    return made.cast(T.DecimalType(min(kind.precision + 4, 38), min(kind.scale + 4, 38))) if isinstance(kind, T.DecimalType) else made
+
+
+for _name, _f in {"sum": F.sum, "min": F.min, "max": F.max}.items():
+    setattr(Rolling, _name, lambda self, how=_name, f=_f: self._made(lambda c, w: f(c).over(w), parts=(how,), whole=lambda kind, a: a))
+Rolling.mean = lambda self: self._made(lambda c, w: F.avg(c).over(w), parts=("sum" if any(isinstance(self.frame.type_of(c), T.DecimalType) for c in self.columns) else "total", "count"), whole=_mean)
 Rolling.median = lambda self: self.quantile(0.5)
 
 
