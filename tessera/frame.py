@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tessera import nulls
 from tessera.nulls import FLOATING, INTEGRAL, NUMERIC, lit
-from tessera.operators import joins, ordered, reshape
+from tessera.operators import joins, ordered, quantiles, reshape
 
 IDX = "__idx"
 _names = itertools.count()
@@ -794,13 +794,17 @@ class Frame(_Common):
     def quantile(self, q=0.5, axis=0, numeric_only=True, method="default"):
         names = self.numeric()
         if isinstance(q, (list, tuple, np.ndarray)):
-            values = self.sdf.agg(*[F.percentile(F.col(c), F.array(*[F.lit(float(x)) for x in q])).alias(c) for c in names])
+            values = quantiles.percentiles(self.sdf, {c: [float(x) for x in q] for c in names})
             zipped = F.arrays_zip(F.array(*[F.lit(float(x)) for x in q]).alias(IDX), *[F.col(c) for c in names])
             return Frame(values.select(F.explode(zipped).alias("r")).select(F.col(f"r.{IDX}").alias(IDX), *[F.col(f"r.{c}").alias(c) for c in names]), names, IDX)
-        return self._reduce("quantile", names, q=q)
+        return self._exact(float(q))
+
+    def _exact(self, q: float) -> Reduced:
+        names = self.numeric()
+        return Reduced(quantiles.percentiles(self.sdf, {c: [q] for c in names}).select(*[F.col(f"`{c}`")[0].alias(c) for c in names]), names)
 
     def median(self, axis=0, numeric_only=False, **_) -> Reduced:
-        return self._reduce("median", self.numeric())
+        return self._exact(0.5)
 
     def median_approximate(self, **_) -> Reduced:
         return Reduced(self.sdf.agg(*[F.percentile_approx(c, 0.5).alias(c) for c in self.numeric()]), self.numeric())
@@ -817,7 +821,11 @@ class Frame(_Common):
         names = [c for c in self._columns if isinstance(self.type_of(c), NUMERIC)]
         rows = [self[c]._describe_struct(percentiles) for c in names]
         labels = list(dict.fromkeys(k for r in rows for k in r))
-        one = self.sdf.agg(*[r[k].cast("double").alias(f"__{i}_{k}") for i, r in enumerate(rows) for k in r])
+        one = self.sdf.agg(*[r[k].cast("double").alias(f"__{i}_{k}") for i, r in enumerate(rows) for k in r if r[k] is not None])
+        if percentiles and names:
+            percentiles = list(dict.fromkeys(percentiles))
+            exact = quantiles.percentiles(self.sdf, {c: [float(p) for p in percentiles] for c in names})
+            one = one.crossJoin(F.broadcast(exact.select(*[F.col(f"`{c}`")[j].alias(f"__{i}_{100 * p:g}%") for i, c in enumerate(names) for j, p in enumerate(percentiles)])))  # one row
         value = lambda i, k: F.col(f"`__{i}_{k}`") if k in rows[i] else F.lit(None)
         exploded = F.explode(F.array(*[F.struct(F.lit(p).alias("__p"), F.lit(k).alias(IDX), *[value(i, k).alias(c) for i, c in enumerate(names)]) for p, k in enumerate(labels)])).alias("r")
         return Frame(one.select(exploded).select("r.*"), names, IDX, ["__p"])

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tessera import nulls
 from tessera.frame import IDX, Frame, Scalar, _Common, _fresh, _list, _moment, align
 from tessera.nulls import FLOATING, NUMERIC, is_missing, known, lit
-from tessera.operators import ordered, reshape
+from tessera.operators import ordered, quantiles, reshape
 
 
 class Series(_Common):
@@ -403,20 +403,24 @@ class Series(_Common):
         if isinstance(q, (list, tuple, np.ndarray)):
             out = self.to_frame().quantile(q)
             return out[out._columns[0]]
-        c = F.percentile(self.col, F.lit(float(q))) if method != "tdigest" else F.percentile_approx(self.col, float(q), 10_000)
-        return self._agg(c)
+        if method == "tdigest":
+            return self._agg(F.percentile_approx(self.col, float(q), 10_000))
+        return self._agg(F.percentile(self.col, F.lit(float(q)))) if not isinstance(self.dtype, NUMERIC) else self._exact(float(q))
+
+    def _exact(self, q: float) -> Scalar:
+        return Scalar(quantiles.percentiles(self.base.sdf.select(self.col.alias("value")), {"value": [q]}).select(F.col("value")[0]))
 
     def median(self, **_):
-        return self._agg(F.median(self.col))
+        return self._exact(0.5) if isinstance(self.dtype, NUMERIC) else self._agg(F.median(self.col))
 
     def median_approximate(self, **_):
         return self._agg(F.percentile_approx(self.col, 0.5))
 
-    def _describe_struct(self, percentiles=(0.25, 0.5, 0.75)) -> dict[str, Column]:
+    def _describe_struct(self, percentiles=(0.25, 0.5, 0.75)) -> dict[str, Column | None]:
         c = self.col
         if isinstance(self.dtype, NUMERIC):
             out = {"count": F.count(c), "mean": F.avg(c), "std": F.sqrt(nulls.variance(c)), "min": F.min(c)}
-            out |= {f"{100 * p:g}%": F.percentile(c, F.lit(float(p))) for p in percentiles}
+            out |= {f"{100 * p:g}%": None for p in percentiles}  # exact quantiles aren't an aggregate: see quantiles.percentiles
             return out | {"max": F.max(c)}
         raise TypeError('numbers only')
 
