@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera import nulls
 from tessera.frame import IDX, Frame, Series, _fresh, _list
-from tessera.operators import ordered
+from tessera.operators import ordered, quantiles
 
 SIMPLE = ("sum", "prod", "mean", "min", "max", "count", "var", "std", "median", "nunique", "first", "last", "skew", "kurt", "sem", "any", "all")
 
@@ -88,6 +88,10 @@ class GroupBy:
         return F.struct(*self.rows.order) if self.rows.order else None
 
     def _aggregate(self, how: str, columns: list[str], **options):
+        if how in ("median", "quantile") and columns:
+            spread = quantiles.grouped(self.rows.sdf, self.keys, {c: (c, float(options.get("q", 0.5))) for c in columns})
+            if spread is not None:
+                return self._result(spread, columns)
         f = self.rows if how not in ("first", "last") else self.rows._positioned()
         order = F.struct(*f.order) if f.order else None
         cells = [nulls.aggregate(how, F.col(f"`{c}`"), order, **options).alias(c) for c in columns]
@@ -114,7 +118,14 @@ class GroupBy:
         f = self.rows._positioned() if any(h in ("first", "last", "list") for _, h in made.values() if isinstance(h, str)) else self.rows
         order = F.struct(*f.order) if f.order else None
         cells = [(h(F.col(f"`{c}`")) if callable(h) else nulls.aggregate(h, F.col(f"`{c}`"), order)).alias(new) for new, (c, h) in made.items()]
-        return self._result(f.sdf.groupBy(*self.keys).agg(*cells), list(made))
+        exact = {new: (c, 0.5) for new, (c, h) in made.items() if isinstance(h, str) and h in ("median", "quantile") and c in self.frame.numeric()}
+        spread = quantiles.grouped(f.sdf, self.keys, exact) if exact else None
+        if spread is None:
+            return self._result(f.sdf.groupBy(*self.keys).agg(*cells), list(made))
+        # the others beside them, joined by the key as one value, in which missing parts are equal
+        rest = f.sdf.groupBy(*self.keys).agg(F.count("*").alias("__n"), *[x for x, new in zip(cells, made, strict=True) if new not in exact])
+        both = rest.withColumn("__g", F.struct(*self.keys)).join(spread.select(F.struct(*self.keys).alias("__g"), *exact), "__g")
+        return self._result(both.select(*self.keys, *[F.col(f"`{new}`") for new in made]), list(made))
 
     aggregate = agg
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tessera import nulls
 from tessera.frame import IDX, Frame, Series, _fresh
 from tessera.functions.datetimes import CALENDAR, FIXED, floor_to, frequency, from_micros, micros
-from tessera.operators import ordered
+from tessera.operators import ordered, quantiles
 
 
 class Rolling:
@@ -270,10 +270,13 @@ class Resampler:
         unit = CALENDAR.get(unit, unit)
         return F.add_months(c, {"month": 1, "quarter": 3, "year": 12}[unit]).cast("timestamp_ntz") if unit != "week" else from_micros(micros(c) + 7 * FIXED["d"])
 
-    def _result(self, cells: dict[str, Column], empty: dict[str, object]):
+    def _result(self, cells: dict[str, Column], empty: dict[str, object], exact: dict[str, tuple[str, float]] | None = None):
+        """``exact``: the cells that are quantiles, (column, q), made apart where a bin is large."""
         f = self.frame
         bins = f.sdf.where(F.col(f.index_column).isNotNull()).withColumn("__b", self._bin(F.col(f.index_column)))
-        made = bins.groupBy("__b").agg(*[c.alias(k) for k, c in cells.items()])
+        spread = quantiles.grouped(bins, ["__b"], exact) if exact else None
+        made = bins.groupBy("__b").agg(F.count("*").alias("__n"), *[c.alias(k) for k, c in cells.items() if spread is None or k not in exact])
+        made = (made if spread is None else made.join(spread, "__b")).select("__b", *[F.col(f"`{k}`") for k in cells])
         n, unit = frequency(self.rule)
         # the empty bins lie between one bin and the next that has rows: made from the bins, not from the rows
         edge = made.select("__b").withColumn("__n", F.lead("__b").over(Window.orderBy("__b")))
@@ -296,7 +299,8 @@ class Resampler:
 
     def _all(self, how: str, **options):
         names = self.columns if how in ("count", "nunique", "first", "last", "min", "max") else self.frame.numeric()
-        return self._result({c: self._cell(how, c, **options) for c in names}, {c: self.EMPTY.get(how) for c in names})
+        exact = {c: (c, 0.5) for c in names} if how in ("median", "quantile") else None
+        return self._result({c: self._cell(how, c, **options) for c in names}, {c: self.EMPTY.get(how) for c in names}, exact)
 
     def size(self):
         out = self._result({"size": F.count(F.lit(1))}, {"size": 0})
@@ -315,12 +319,14 @@ class Resampler:
         if isinstance(hows, str):
             return getattr(self, hows)()
         chosen = hows if isinstance(hows, dict) else {c: hows for c in self.frame.numeric()}
-        cells, empty = {}, {}
+        cells, empty, exact = {}, {}, {}
         for c, which in chosen.items():
             for how in [which] if isinstance(which, str) else which:
                 name = c if isinstance(which, str) else how if self.series else f"{c}_{how}"
                 cells[name], empty[name] = self._cell(how, c), self.EMPTY.get(how)
-        return self._result(cells, empty)
+                if how in ("median", "quantile") and c in self.frame.numeric():
+                    exact[name] = (c, 0.5)
+        return self._result(cells, empty, exact)
 
 
 for _name in ("sum", "prod", "mean", "min", "max", "count", "nunique", "first", "last", "var", "std", "sem", "median"):

@@ -72,3 +72,33 @@ def test_one_task_gets_few_of_the_values(spark):
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     assert metrics and max(metrics) < 1000
+
+
+def test_large_groups_like_the_aggregate(spark, monkeypatch):
+    sdf = columns(spark, 3000).withColumn("g", F.when(F.col("few") > 4, None).when(F.col("few") < 3, "a").otherwise("b")).withColumn("h", F.when(F.col("gaps").isNull(), F.lit(0.0)).otherwise(F.col("few")))
+    names = ["spread", "most", "gaps", "none", "odd"]
+    want = {(r.g, r.h): r.asDict() for r in sdf.groupBy("g", "h").agg(*[F.percentile(c, F.lit(0.3)).alias(c) for c in names]).collect()}
+    monkeypatch.setattr(quantiles, "LARGE", 200)  # some groups are larger, others aren't
+    got = quantiles.grouped(sdf, ["g", "h"], {c: (c, 0.3) for c in names})
+    found = got.collect()
+    assert len(found) == len(want)
+    for r in found:
+        same(r, {c: want[r.g, r.h][c] for c in names})
+    monkeypatch.setattr(quantiles, "LARGE", 10**6)
+    assert quantiles.grouped(sdf, ["g", "h"], {"spread": ("spread", 0.3)}) is None
+
+
+def test_groups_and_time_bins(spark, monkeypatch):
+    sdf = columns(spark, 2000).select("spread", "few", F.timestamp_seconds(F.col("gaps")).cast("timestamp_ntz").alias("at"))
+    d, timed = Frame(sdf), Frame(sdf.where("at is not null")).set_index("at")
+
+    def made():
+        frames = [d.groupby("few").spread.quantile(0.2).to_frame(), d.groupby("few").agg(a=("spread", "median"), b=("spread", "sum")), d.groupby("few").spread.median().to_frame()]
+        frames += [timed[["spread"]].resample("10min").median(), timed.resample("10min").agg({"spread": "median", "few": "max"})]
+        plans = [f.sdf._jdf.queryExecution().optimizedPlan().toString() for f in frames]
+        return [sorted((str(r) for r in f.sdf.selectExpr(*[f"round({c}, 6)" if t == "double" else c for c, t in f.sdf.dtypes]).collect())) for f in frames], sum("percentile_approx(" in p for p in plans)
+
+    whole, none = made()
+    monkeypatch.setattr(quantiles, "LARGE", 100)
+    apart, all_of_them = made()
+    assert apart == whole and (none, all_of_them) == (0, 5)
